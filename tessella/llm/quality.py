@@ -235,5 +235,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", do
     table = write_table(measure(plain).select("doc_id", "stratum", F.col("quality_m").alias("m")), "quality")
     cutoffs = fit_cutoffs(table, labels.withColumnRenamed(doc_id, "doc_id"), "m", "stratum", **risk)
     m = fresh_name(docs.columns, "quality_m")
-    out, kept = judge(measure(docs, text), cutoffs, m, stratum)
-    return out.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A filter on what was measured must stay above the measuring: pushed below it, its expressions would be repeated over and
+    # over. No filter passes a row number that it needs.
+    guard = fresh_name(docs.columns, "quality_row")
+    out, kept = judge(measure(docs, text).withColumn(guard, F.monotonically_increasing_id()), cutoffs, m, stratum)
+    return out.where(F.col(kept) & (F.col(guard) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
