@@ -114,13 +114,18 @@ def training_order(docs: DataFrame, doc_id="doc_id", source="source", text="text
     mixed = mix(docs, doc_id=doc_id, source=source, text=text, **options)
     key = fresh_name(docs.columns, "mix")
     size = F.size(words(F.col(text).cast("string"))).cast("long")
-    plain = [f"{key}_{c}" for c in ("doc_id", "source", "size", "n")]
-    nth = lambda order: F.row_number().over(Window.partitionBy(*plain[:3]).orderBy(order))
+    plain = [f"{key}_{c}" for c in ("doc_id", "source", "size")]
+    k, n, at = f"{key}_k", f"{key}_n", f"{key}_at"
+    # One hash of id, source and size is the key of the join and of the numbering of equal keys, so docs are dealt once for both.
     due = mixed.select(
-        F.col("doc_id").alias(plain[0]), F.col("source").alias(plain[1]), F.col("size").alias(plain[2]), "copies"
-    ).withColumn(plain[3], nth(F.col("copies")))
-    due = due.select(*plain, F.transform(F.filter("copies", lambda c: 2 * c["taken"] >= F.col(plain[2])), lambda c: c["position"]).alias(f"{key}_at"))
-    rows = docs.withColumns({plain[0]: F.col(doc_id), plain[1]: F.col(source).cast("string"), plain[2]: size}).withColumn(plain[3], nth(F.xxhash64(text)))
-    on = [rows[c].eqNullSafe(due[c]) for c in plain]
-    joined = rows.join(due.where(F.size(f"{key}_at") > 0), on).select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(f"{key}_at").alias(key))
+        F.xxhash64("doc_id", "source", "size").alias(f"{k}_due"), F.col("doc_id").alias(f"{plain[0]}_due"), F.col("source").alias(f"{plain[1]}_due"), F.col("size").alias(f"{plain[2]}_due"),
+        F.transform(F.filter("copies", lambda c: 2 * c["taken"] >= F.col("size")), lambda c: c["position"]).alias(at),
+    ).groupBy(f"{k}_due", *[f"{c}_due" for c in plain]).agg(F.array_sort(F.collect_list(at)).alias(at))
+    rows = docs.withColumns({plain[0]: F.col(doc_id), plain[1]: F.col(source).cast("string"), plain[2]: size}).withColumn(k, F.xxhash64(*plain))
+    same = rows[k] == due[f"{k}_due"]
+    for c in plain:
+        same = same & rows[c].eqNullSafe(due[f"{c}_due"])
+    joined = rows.join(due.where(F.exists(at, lambda x: F.size(x) > 0)).hint("shuffle_hash"), same)
+    joined = joined.withColumn(n, F.row_number().over(Window.partitionBy(k, *plain).orderBy(F.xxhash64(text))))
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.get(F.col(at), F.col(n) - 1)).alias(key))
     return joined.repartitionByRange(key).sortWithinPartitions(key).drop(key)
