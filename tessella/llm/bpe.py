@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tessella.runtime import ship_package
 
 #: Distinct chunks that a task remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 

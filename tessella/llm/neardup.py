@@ -55,7 +55,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 1_000_000:
+    if len(_words) > 200_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(SHINGLE, len(h))
