@@ -111,7 +111,7 @@ class Mapped:
 
 NONE = np.uint16(0xFFFF)
 #: Probabilities are kept as steps of -log10.
-STEPS = 2048
+STEPS = 512
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -146,7 +146,8 @@ class Trie:
         self.levels, before = [], 1
         for j in range(depth):
             keys = [r * width + g[:, j] for (g, _, _), r in zip(sets, ranks, strict=True) if g.shape[1] > j]
-            level = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+            level = np.sort(np.concatenate(keys), kind="stable") if keys else np.empty(0, np.int64)  # a merge of sorted runs
+            level = level[np.concatenate([np.ones(min(1, len(level)), bool), level[1:] != level[:-1]])]
             takes, leaves = np.full(len(level), NONE), np.full(len(level), NONE)
             for i, (g, values, is_gram) in enumerate(sets):
                 if g.shape[1] > j:
@@ -165,20 +166,25 @@ class Trie:
 
     def find(self, rows: np.ndarray) -> np.ndarray:
         """Rank of each row's node in the level of its length, -1 if it has none. Rows ascend."""
-        node = np.zeros(len(rows), np.int64)
-        if rows.shape[1] > len(self.levels):
+        if rows.shape[1] > len(self.levels) or not len(rows):
             return np.full(len(rows), -1, np.int64)
+        node, new = np.zeros(1, np.int64), np.zeros(len(rows), bool)
+        new[0] = True
+        of = np.zeros(len(rows), np.int64)  # each row's place among the distinct prefixes that were searched so far
         for j in range(rows.shape[1]):
-            at = self.levels[j]
+            new[1:] |= rows[1:, j] != rows[:-1, j]
+            first = np.flatnonzero(new)
+            node = node[of[first]]
+            of = np.cumsum(new) - 1
             on = np.flatnonzero(node >= 0)
+            at = self.levels[j]
             if j:
                 starts = self._sequence(at + 5)  # contexts without successors need no search
-                first = starts.at(node[on])
-                more = starts.at(node[on] + 1) > first
+                more = starts.at(node[on] + 1) > starts.at(node[on])
                 node[on[~more]] = -1
                 on = on[more]
-            node[on] = self._sequence(at).successor(node[on] * self.width + rows[on, j])
-        return node
+            node[on] = self._sequence(at).successor(node[on] * self.width + rows[first[on], j])
+        return node[of]
 
     def takes(self, rows: np.ndarray) -> np.ndarray:
         return self._codes(rows, 10)

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -101,8 +102,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         def block() -> pa.RecordBatch:
             nonlocal made, tokens
             coded = pa.array(tokens, pa.binary()).dictionary_encode()
-            found = np.array(coded.dictionary.to_pylist(), object)
-            order = np.argsort(found)
+            order = pc.sort_indices(coded.dictionary).to_numpy()
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             local = rank[coded.indices.to_numpy()]
@@ -110,7 +110,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             counts = np.bincount(local[learn], minlength=len(order))
             row = {
                 "block": [(part << 32) + made], "ids": [list(ids)], "sizes": [list(sizes)], "held": [list(held)],
-                "words": [b" ".join(found[order])], "counts": [pack(counts)], "body": [pack(local)], "trained": [int(learn.sum())],
+                "words": [zstandard.compress(b" ".join(coded.dictionary.take(pa.array(order)).to_pylist()))], "counts": [pack(counts)], "body": [pack(local)], "trained": [int(learn.sum())],
             }
             made += 1
             for x in (ids, sizes, held):
@@ -139,7 +139,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _split_words(body: bytes) -> list[bytes]:
-    return body.split(b" ")
+    return zstandard.decompress(body).split(b" ")
 
 
 def _word_shards(words: list[bytes], shards: int) -> np.ndarray:
@@ -179,8 +179,7 @@ def _serve_words(asked: DataFrame, shards: int) -> DataFrame:
         coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
         local = coded.indices.to_numpy()
         counts = np.bincount(local, weights=np.concatenate([unpack(c)[0] for _, c in bodies]), minlength=len(coded.dictionary)).astype(np.int64)
-        words = np.array(coded.dictionary.to_pylist(), object)
-        order = np.lexsort((words, -counts))
+        order = pc.sort_indices(pa.table({"n": counts, "w": coded.dictionary}), [("n", "descending"), ("w", "ascending")]).to_numpy()
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order)) * shards + shard
         ends = np.cumsum([0, *sizes])
@@ -227,14 +226,18 @@ class _BlockGrams:
             shifted = np.where(offset >= k, np.roll(token, k), 0)
             back.append(shifted)
             back_salts.append(np.where(offset >= k, np.roll(salts, k), begin_salts))
+        width, below = int(token.max(initial=0)) + 1, None
         for k in range(2, order + 1):
-            columns = [back[j] for j in range(k - 1, -1, -1)]
-            rows, inverse = _distinct(columns)
+            # The context of a k-gram is the (k - 1)-gram one place before it, whose rank is known.
+            # Begin tokens alone come first, in the order of rows as well.
+            context = back[1] if below is None else np.where(offset >= 1, np.roll(below, 1) + 1, 0)
+            first, inverse = _ranked(context * width + token)
+            rows = np.stack([back[j][first] for j in range(k - 1, -1, -1)], 1)
             n = np.bincount(inverse[learn], minlength=len(rows))
-            first = np.empty(len(rows), np.int64)
-            first[inverse] = np.arange(len(inverse))
-            salt = np.minimum.reduce([back_salts[j] for j in range(1, k)])[first]
+            salt = np.minimum.reduce([back_salts[j][first] for j in range(1, k)])
             self.grams[k] = (rows, inverse, n, salt)
+            below = inverse
+        del self.learn
 
     def messages(self) -> Iterator[tuple[int, dict[int, tuple]]]:
         """For each shard and order: context rows and their totals, and the n-grams as (context place, word, count)."""
@@ -242,12 +245,12 @@ class _BlockGrams:
         for k, (rows, _, n, salt) in self.grams.items():
             context, of, total, c_salt, home = self._contexts(k)
             target = (home[of] + (_mixed(rows[:, -1]) % salt.astype(np.uint64)).astype(np.int64)) % self.shards
-            order = np.lexsort((np.arange(len(rows)), target))
+            order = _by_shard(target, self.shards)
             # Contexts stand with their totals in every shard that may hold a part of them.
             spread = np.minimum(c_salt, self.shards)
             c_at = np.repeat(np.arange(len(context)), spread)
             c_target = (home[c_at] + np.arange(len(c_at)) - np.repeat(np.cumsum(spread) - spread, spread)) % self.shards
-            c_order = np.lexsort((c_at, c_target))
+            c_order = _by_shard(c_target, self.shards)
             cuts = np.searchsorted(target[order], np.arange(self.shards + 1))
             c_cuts = np.searchsorted(c_target[c_order], np.arange(self.shards + 1))
             for s in range(self.shards):
@@ -269,15 +272,34 @@ class _BlockGrams:
         return context, of, np.bincount(of, weights=n, minlength=len(context)).astype(np.int64), salt[new], home
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct value, in ascending order of values, and each value's rank."""
+    order = np.argsort(code)
+    ordered = code[order]
+    new = np.ones(len(code), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(code), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order[new], rank
+
+
+def _by_shard(target: np.ndarray, shards: int) -> np.ndarray:
+    """Stable order by shard; 16-bit keys take the radix sort."""
+    return np.argsort(target.astype(np.uint16) if shards <= 1 << 16 else target, kind="stable")
+
+
+def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct rows and each row's place among them."""
-    code, first = columns[0], None
-    for c in columns[1:]:
-        values, code = np.unique(code, return_inverse=True)
-        width = int(c.max(initial=0)) + 1
-        code = code * width + c
-    values, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-    return np.stack([c[first] for c in columns], 1), inverse
+    if not len(rows):
+        return rows, np.empty(0, np.int64)
+    width = int(rows.max()) + 1
+    code = rows[:, 0]
+    for c in range(1, rows.shape[1]):
+        if int(code.max()) >= (1 << 62) // width:
+            code = _ranked(code)[1]
+        code = code * width + rows[:, c]
+    first, rank = _ranked(code)
+    return rows[first], rank
 
 
 def _ask_grams(state: DataFrame, shards: int, total: int, order: int) -> DataFrame:
@@ -341,10 +363,6 @@ def _serve_grams(asked: DataFrame) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(run, _ROW)
 
 
-def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _distinct([rows[:, c] for c in range(rows.shape[1])]) if len(rows) else (rows, np.empty(0, np.int64))
-
-
 def _gathered(table: pa.Table) -> tuple[dict, list[tuple], list[tuple]]:
     """A block's own row, its word answers and its n-gram answers by shard."""
     part, words, grams = None, [], []
