@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WS, ascii_lower, fresh_name, scratch, write_table
+from tessella.llm.common import WS, ascii_lower, freeing_shuffles, fresh_name, scratch, write_table
 
 
 def line_key(line: Column) -> Column:
@@ -42,7 +42,8 @@ class Runs:
     def _write(self, rows: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         rows = rows.repartition(self.buckets, "h")
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", scratch(self.spark, "run")).saveAsTable(name)
+        with freeing_shuffles(self.spark):
+            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", scratch(self.spark, "run")).saveAsTable(name)
         return self.spark.table(name)
 
     def all(self) -> list[DataFrame]:

@@ -25,6 +25,7 @@ repeated rows count and are scored one by one; an empty table gives an empty res
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import write_table
+from tessella.llm.common import scratch, write_table
 from tessella.llm.eliasfano import NONE, Trie, dequantise
 from tessella.runtime import ship_package
 
 #: Tokens of a block (at least one document), training tokens for each shard, interpolation masses by order.
-BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 1_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_200_000, 800_000
 MASS = {2: 30.0, 3: 4.0}
 END, BEGIN = b"\n", b" "  # no word holds white space
 _ROW = "block long, shard int, kind int, body binary"
@@ -302,9 +303,9 @@ def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], rank
 
 
-def _ask_grams(state: DataFrame, shards: int, total: int, order: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        part, words, _ = _gathered(table)
+def _ask_grams(cut: DataFrame, words: DataFrame, shards: int, total: int, order: int) -> DataFrame:
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        part, words, _ = _gathered(own, answers)
         block = _BlockGrams(part, *_numbered(part, words, shards), total, shards, order)
         rows = []
         for s, by_order in block.messages():
@@ -316,7 +317,7 @@ def _ask_grams(state: DataFrame, shards: int, total: int, order: int) -> DataFra
             rows.append((part["block"], s, 3, pack(*arrays)))
         return _table(rows)
 
-    return state.groupBy("block").applyInArrow(run, _ROW)
+    return cut.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, _ROW)
 
 
 def _serve_grams(asked: DataFrame) -> DataFrame:
@@ -363,45 +364,38 @@ def _serve_grams(asked: DataFrame) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(run, _ROW)
 
 
-def _gathered(table: pa.Table) -> tuple[dict, list[tuple], list[tuple]]:
+def _gathered(own: pa.Table, answers: pa.Table) -> tuple[dict, list[tuple], list[tuple]]:
     """A block's own row, its word answers and its n-gram answers by shard."""
-    part, words, grams = None, [], []
-    for block, shard, kind, body in zip(*(table.column(c).to_pylist() for c in ("block", "shard", "kind", "body")), strict=True):
-        if kind == 0:
-            part = pickle.loads(body)
-            part["block"] = block
-        else:
-            (words if kind == 1 else grams).append((shard, body))
-    return part, words, sorted(grams)
-
-
-def _wrapped(cut: DataFrame) -> DataFrame:
-    """Blocks as rows of the message table."""
+    words, grams = [], []
+    for shard, kind, body in zip(*(answers.column(c).to_pylist() for c in ("shard", "kind", "body")), strict=True):
+        (words if kind == 1 else grams).append((shard, body))
+    return own.to_pylist()[0], words, sorted(grams)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                yield from _table([(r["block"], -1, 0, pickle.dumps({k: r[k] for k in ("ids", "sizes", "held", "words", "body")}, 5))]).to_batches()
 
-    return cut.select("block", "ids", "sizes", "held", "words", "body").mapInArrow(run, _ROW)
+def _bucketed(cut: DataFrame) -> DataFrame:
+    """Blocks as a table bucketed by block: what is brought to them is shuffled, they are not."""
+    spark, name = cut.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut.write.bucketBy(buckets, "block").option("compression", "none").option("path", scratch(spark, "blocks")).saveAsTable(name)
+    return spark.table(name)
 
 
 def score(docs: DataFrame, order: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     ship_package(docs.sparkSession)
-    cut = write_table(blocks(docs, doc_id, text), "blocks")
+    cut = _bucketed(blocks(docs, doc_id, text))
     total = cut.agg(F.sum("trained")).first()[0] or 0
     shards = max(4, -(-total // SHARD_TOKENS))
     answers = write_table(_serve_words(_ask_words(cut, shards), shards), "words")
     distinct = sum(int(unpack(r.body)[0][0]) for r in answers.where("kind = 2").select("body").toLocalIterator())  # a number a shard
     words = answers.where("kind = 1")
-    state = _wrapped(cut).unionByName(words)
-    grams = write_table(_serve_grams(_ask_grams(state, shards, total, order)), "grams")
+    parts = cut.select("block", "ids", "sizes", "held", "words", "body")
+    grams = write_table(_serve_grams(_ask_grams(parts, words, shards, total, order)), "grams")
     id_type = cut.schema["ids"].dataType.elementType.simpleString()
     bottom = total + 0.1 * (distinct + 1)
 
-    def run(table: pa.Table) -> pa.Table:
-        part, own, found = _gathered(table)
+    def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        part, own, found = _gathered(mine, answers)
         block = _BlockGrams(part, *_numbered(part, own, shards), total, shards, order)
         base = (block.count + 0.1) / bottom
         p = base
@@ -424,4 +418,4 @@ def score(docs: DataFrame, order: int = 3, doc_id: str = "doc_id", text: str = "
         })
 
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _wrapped(cut).unionByName(words).unionByName(grams).groupBy("block").applyInArrow(run, schema)
+    return parts.groupBy("block").cogroup(words.unionByName(grams).groupBy("block")).applyInArrow(run, schema)
