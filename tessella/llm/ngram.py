@@ -221,6 +221,7 @@ class _BlockGrams:
         salts = word_salts[local]
         begin_salts = max(1, 2 * shards * int(learn.any()) * len(sizes) // max(int(sizes.sum()), 1))
         self.grams: dict[int, tuple] = {}
+        self.contexts: dict[int, tuple] = {}
         back = [token]
         back_salts = [salts]
         for k in range(1, order):
@@ -237,14 +238,16 @@ class _BlockGrams:
             n = np.bincount(inverse[learn], minlength=len(rows))
             salt = np.minimum.reduce([back_salts[j][first] for j in range(1, k)])
             self.grams[k] = (rows, inverse, n, salt)
+            self.contexts[k] = self._contexts(k)
             below = inverse
         del self.learn
 
-    def messages(self) -> Iterator[tuple[int, dict[int, tuple]]]:
-        """For each shard and order: context rows and their totals, and the n-grams as (context place, word, count)."""
+    def messages(self, places_only: bool = False) -> Iterator[tuple[int, dict[int, tuple]]]:
+        """For each shard and order: places of the n-grams and of the contexts, then context rows and their totals, and the
+        n-grams as (context place, word, count)."""
         parts: dict[int, dict[int, tuple]] = {}
         for k, (rows, _, n, salt) in self.grams.items():
-            context, of, total, c_salt, home = self._contexts(k)
+            context, of, total, c_salt, home = self.contexts[k]
             target = (home[of] + (_mixed(rows[:, -1]) % salt.astype(np.uint64)).astype(np.int64)) % self.shards
             order = _by_shard(target, self.shards)
             # Contexts stand with their totals in every shard that may hold a part of them.
@@ -257,7 +260,7 @@ class _BlockGrams:
             for s in range(self.shards):
                 i, j = order[cuts[s] : cuts[s + 1]], c_at[c_order[c_cuts[s] : c_cuts[s + 1]]]
                 if len(j):
-                    parts.setdefault(s, {})[k] = (i, j, context[j], total[j], np.searchsorted(j, of[i]), rows[i, -1], n[i])
+                    parts.setdefault(s, {})[k] = (i, j) if places_only else (i, j, context[j], total[j], np.searchsorted(j, of[i]), rows[i, -1], n[i])
         yield from sorted(parts.items())
 
     def _contexts(self, k: int) -> tuple:
@@ -401,14 +404,14 @@ def score(docs: DataFrame, order: int = 3, doc_id: str = "doc_id", text: str = "
         p = base
         bodies = {s: unpack(b) for s, b in found}
         takes = {k: np.full(len(rows), NONE) for k, (rows, _, _, _) in block.grams.items()}
-        leaves = {k: np.full(len(block._contexts(k)[0]), NONE) for k in block.grams}
-        for s, by in block.messages():
+        leaves = {k: np.full(len(block.contexts[k][0]), NONE) for k in block.grams}
+        for s, by in block.messages(places_only=True):
             for i, k in enumerate(sorted(by)):
                 g, c = by[k][:2]
                 leaves[k][c], takes[k][g] = bodies[s][2 * i], bodies[s][2 * i + 1]
         for k in sorted(block.grams):
             _, inverse, _, _ = block.grams[k]
-            left = np.where(leaves[k] == NONE, 1.0, dequantise(leaves[k]))[block._contexts(k)[1]]
+            left = np.where(leaves[k] == NONE, 1.0, dequantise(leaves[k]))[block.contexts[k][1]]
             p = dequantise(takes[k])[inverse] + left[inverse] * p
         starts = np.cumsum(block.sizes) - block.sizes
         add = lambda x: np.add.reduceat(x, starts)
