@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = known.select("doc_id", "fp").join(several, "doc_id").join(reps.select("fp", "id"), "fp").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     edges = links(docs, reps, doc_id, text).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(own)
     of_class = reps.join(components(edges), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(of_class, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(of_class, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -219,7 +219,7 @@ class _BlockGrams:
         # A word takes part in a hot context if its share exceeds half a shard; it is then dealt over so many shards.
         word_salts = np.maximum(1, 2 * shards * count // max(total, 1))
         salts = word_salts[local]
-        begin_salts = max(1, 2 * shards * int(learn.any()) * len(sizes) // max(int(sizes.sum()), 1))
+        begin_salts = salts[-1]  # a text ends as often as it begins, and every block has an end token
         self.grams: dict[int, tuple] = {}
         self.contexts: dict[int, tuple] = {}
         back = [token]
