@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 from tessella.runtime import ship_package
 
 #: Distinct chunks that a task remembers before it starts anew.
-MEMORY = 250_000
+MEMORY = 300_000
+#: Characters of texts whose chunks are learnt together.
+GROUP_CHARS = 2_000_000
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -72,6 +74,14 @@ class Bpe:
             codes.append(i * n + j)
             if self.birth[k] < 0:
                 self.left[k], self.right[k], self.birth[k] = i, j, r
+        # For step-by-step merging: the rank of a pair of ids, and what it makes.
+        self._pair = {c: r for r, c in reversed(list(enumerate(codes)))}
+        self._made = [self.vocab[a + b] for a, b in pairs]
+        # The longest token without end marker for each two first characters bounds the search for the longest match.
+        self._reach: dict[str, int] = {}
+        for t in self.vocab:
+            if not (self.end and t.endswith(self.end)):
+                self._reach[t[:2]] = max(self._reach.get(t[:2], 1), len(t))
         order = np.argsort(codes)
         self._codes, self._ranks, self._n = np.asarray(codes)[order], order, n
         self.own = self._own()
@@ -107,24 +117,27 @@ class Bpe:
 
     def merge(self, word: str) -> list[int]:
         """The exact result: the lowest rank first, of equal ranks the leftmost."""
-        parts = [*word[:-1], word[-1] + self.end]
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == 1 << 60:
-                break
+        n, none, rank = self._n, 1 << 60, self._pair.get
+        ids = [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.end]]
+        ranks = [rank(a * n + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != none:
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.vocab[p] for p in parts]
+            ids[i : i + 2] = [self._made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] * n + ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] * n + ids[i + 1], none)
+        return ids
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; the last token carries the end marker."""
-        out, i, n, vocab, end = [], 0, len(word), self.vocab, self.end
+        out, i, n, vocab, end, reach = [], 0, len(word), self.vocab, self.end, self._reach
         while i < n:
             if n - i < self.longest and (t := vocab.get(word[i:] + end)) is not None:
                 out.append(t)
                 break
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            for j in range(min(n - 1, i + reach.get(word[i : i + 2], 1)), i, -1):
                 if (t := vocab.get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -173,23 +186,40 @@ class Encoder:
         for c, ws in zip(new, cut, strict=True):
             self.seen[c] = np.array([t for _ in ws for t in next(done)], "<u4").tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        chunks = [c for c in _SPACE.split(text) if c] if _ODD_SPACE.search(text) else text.split()
-        if new := set(chunks).difference(self.seen):
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        return [c for c in _SPACE.split(text) if c] if _ODD_SPACE.search(text) else text.split()
+
+    def _know(self, chunks: set[str]) -> None:
+        if new := chunks.difference(self.seen):
             if len(self.seen) > MEMORY:
-                self.seen, new = {}, set(chunks)
+                self.seen, new = {}, chunks
             self._learn(new)
-        return b"".join(map(self.seen.__getitem__, chunks))
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return np.empty(0, "<u4")
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of one text after the other; new chunks are learnt for some texts at a time."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < GROUP_CHARS:
+                group.append(texts[at] or "")
+                size += len(group[-1])
+                at += 1
+            parts = [self._parts(t) for t in group]
+            self._know({c for ps in parts for p in ps if isinstance(p, list) for c in p})
+            for ps in parts:
+                yield np.frombuffer(b"".join([p if isinstance(p, bytes) else b"".join(map(self.seen.__getitem__, p)) for p in ps]), "<u4")
+
+    def _parts(self, text: str) -> list[list[str] | bytes]:
+        """Lists of chunks, and the ids of added tokens between them."""
         added = self.bpe._added_re
         if added is None or not added.search(text):
-            return np.frombuffer(self._plain(text), "<u4")
-        out = [np.array([self.bpe.added[p]], "<u4").tobytes() if i % 2 else self._plain(p) for i, p in enumerate(added.split(text))]
-        return np.frombuffer(b"".join(out), "<u4")
+            return [self._chunks(text)]
+        return [np.array([self.bpe.added[p]], "<u4").tobytes() if i % 2 else self._chunks(p) for i, p in enumerate(added.split(text))]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Token ids as little-endian unsigned 32-bit integers."""
+        return next(self.encode_all([text]))
 
 
 _KEPT: dict[int, Encoder] = {}
@@ -224,7 +254,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(shared.value)
         for batch in batches:
-            found = [encoder.encode(t).astype(np.int32) for t in batch.column(place).to_pylist()]
+            found = [ids.astype(np.int32) for ids in encoder.encode_all(batch.column(place).to_pylist())]
             ends = np.cumsum([0, *map(len, found)])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
@@ -259,8 +289,7 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
         bpe = encoder.bpe
         for batch in batches:
             n, a, b = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = encoder.encode(t)
+            for ids in encoder.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest())
