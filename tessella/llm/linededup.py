@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WS, ascii_lower, freeing_shuffles, fresh_name, scratch, write_table
+from tessella.llm.common import WS, ascii_lower, checked_broadcast, freeing_shuffles, fresh_name, scratch, write_table
 
 
 def line_key(line: Column) -> Column:
@@ -91,7 +91,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         part = lines.where(F.pmod(F.xxhash64("d"), F.lit(batches)) == b)
         holders = part.select("h", "d").distinct()
         runs.add(holders.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("d").alias("top_doc")))
-    hot = runs.totals(min_docs)
+    # A table of its own: a small one is broadcast, and next to a large one the join can split a line that is everywhere.
+    hot = checked_broadcast(runs.totals(min_docs), 100_000)
     drops = lines.join(hot, "h").where(~F.col("d").eqNullSafe(F.col("top_doc"))).groupBy("d", "x").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
     names = docs.columns
     free = {n: fresh_name(names, n) for n in ("n_lines", "n_dropped", "kept")}
