@@ -234,7 +234,8 @@ def _family_links(members: DataFrame, reps: DataFrame, docs: DataFrame, doc_id:
     Documents that meet, directly or over others, are a family. The members outside its largest component are compared
     with all its members, in cells of bounded size; a cell returns at most one link for each component that it joins.
     """
-    least = members.groupBy("bucket").agg(F.min("id").alias("v"))
+    # A table of its own: a small one is broadcast, and next to a large one the join can split a bucket of very many.
+    least = checked_broadcast(members.groupBy("bucket").agg(F.min("id").alias("v")), 100_000)
     family = components(members.join(least, "bucket").select(F.col("id").alias("u"), "v"), "families")
     rows = write_table(members.select("id", "comp").distinct().join(family, "id").withColumnRenamed("component", "family"), "family")
     sets = _full_sets(rows.select("id").distinct(), docs, reps.select("id", "fp"), doc_id, text)
@@ -275,6 +276,7 @@ def links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame
     """Confirmed links (a, b) between representatives that make the components of the similarity graph."""
     members = write_table(buckets(reps), "buckets")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
+    shared = checked_broadcast(shared, 100_000)
     members = write_table(members.join(shared, "bucket"), "shared")
     pairs = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = write_table(_signed(pairs, reps), "survivors")
@@ -284,7 +286,7 @@ def links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame
     members = members.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     # A bucket of one component is done.
     unsettled = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
-    members = write_table(members.join(unsettled, "bucket"), "unsettled")
+    members = write_table(members.join(checked_broadcast(unsettled, 100_000), "bucket"), "unsettled")
     return stars.unionByName(write_table(_family_links(members, reps, docs, doc_id, text), "family_links"))
 
 
