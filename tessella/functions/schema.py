@@ -80,12 +80,14 @@ class Attr:
 
 @dataclass(frozen=True)
 class Schema:
-    """The attributes of a table, and rho: a bin holds about this share of a segment's rows."""
+    """The attributes of a table; rho: a bin holds about this share of a segment's rows; segment_rows: larger ingests and
+    compactions are dealt by key range into segments of about this many rows."""
 
     attrs: tuple[Attr, ...]
     rho: float = 0.001
     estimator: bool = False
     grid_cells: int = 256
+    segment_rows: int = 4_000_000
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "attrs", tuple(self.attrs))
@@ -94,6 +96,8 @@ class Schema:
             raise ValueError(f"attribute names clash: {names}")
         if not 0 < self.rho <= 1:
             raise ValueError(f"rho {self.rho}")
+        if self.segment_rows < 1:
+            raise ValueError(f"segment_rows {self.segment_rows}")
 
     def attr(self, ref: int | str) -> Attr:
         """By name or by position."""
@@ -117,8 +121,8 @@ class Schema:
         return T.StructType([*self.rows.fields, T.StructField("_seq", T.LongType(), False), T.StructField("_op", T.ByteType(), False)])
 
     def to_json(self) -> dict:
-        return {"attrs": [asdict(a) for a in self.attrs], "rho": self.rho, "estimator": self.estimator, "grid_cells": self.grid_cells}
+        return {"attrs": [asdict(a) for a in self.attrs], "rho": self.rho, "estimator": self.estimator, "grid_cells": self.grid_cells, "segment_rows": self.segment_rows}
 
     @classmethod
     def from_json(cls, d: dict) -> Schema:
-        return cls(tuple(Attr(**a) for a in d["attrs"]), d["rho"], d["estimator"], d["grid_cells"])
+        return cls(tuple(Attr(**a) for a in d["attrs"]), d["rho"], d["estimator"], d["grid_cells"], d["segment_rows"])

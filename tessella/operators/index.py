@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.intervals import Encoded, EncodedQuery, Interval, from_order_key, order_key
-from tessella.functions.schema import RANGE, Attr, Schema
+from tessella.functions.schema import FLOAT, RANGE, Attr, Schema
 from tessella.operators.binning import bin_budget, bin_of, equality_bins, range_bins
+from tessella.runtime import ship_package
 
 
 @dataclass
@@ -62,36 +66,62 @@ class AttrIndex:
         return cls(d["name"], d["counts"], d["distinct"], None if d["boundaries"] is None else [bytes.fromhex(b) for b in d["boundaries"]], None if d["values"] is None else undo(d["values"]), undo(d["value_counts"]))
 
 
-def runs_of(rows: DataFrame, attr: Attr) -> list[tuple[bytes, int]]:
-    """(order key, count) of each distinct value of a segment's data rows, ascending. One row a distinct value is collected."""
-    counted = rows.where(F.col(attr.name).isNotNull() & (F.col("_op") == 0)).groupBy(attr.name).agg(F.count(F.lit(1)).alias("n")).collect()
-    merged: dict[bytes, int] = {}
-    for value, n in counted:
-        key = order_key(attr, int(value) if attr.physical in ("int", "uint") else bytes(value) if attr.is_bytes else float(value))
-        merged[key] = merged.get(key, 0) + n
-    return sorted(merged.items())
+def runs_of(rows: DataFrame, schema: Schema) -> DataFrame:
+    """pos, text, n: each distinct value of each attribute in a segment's data rows, and its number of rows."""
+    data, parts = rows.where(F.col("_op") == 0), []
+    for pos, a in enumerate(schema.attrs):
+        value = F.hex(a.name) if a.is_bytes else F.col(a.name).cast("double" if a.physical == FLOAT else a.spark_type).cast("string")
+        parts.append(data.where(F.col(a.name).isNotNull()).select(F.lit(pos).alias("pos"), value.alias("text")))
+    return reduce(DataFrame.unionByName, parts).groupBy("pos", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
-def build(rows: DataFrame, schema: Schema) -> dict[str, AttrIndex]:
-    runs = {a.name: runs_of(rows, a) for a in schema.attrs}
-    budget = bin_budget([len(runs[a.name]) for a in schema.attrs], schema.rho)
-    out = {}
+def _key_of(attr: Attr, text: str) -> bytes:
+    return order_key(attr, bytes.fromhex(text) if attr.is_bytes else float(text) if attr.physical == FLOAT else int(text))
+
+
+def plan(runs: dict[str, list[tuple[bytes, int]]], schema: Schema) -> list[AttrIndex]:
+    """The bins of a segment from its runs (order key, rows), ascending."""
+    budget, out = bin_budget([len(runs[a.name]) for a in schema.attrs], schema.rho), []
     for a, bins in zip(schema.attrs, budget, strict=True):
         r = runs[a.name]
         if a.index == RANGE:
             boundaries, counts = range_bins(r, bins)
-            out[a.name] = AttrIndex(a.name, counts, len(r), boundaries=boundaries)
+            out.append(AttrIndex(a.name, counts, len(r), boundaries=boundaries))
         else:
             values = equality_bins(r, bins)
             counts = [0] * bins
             for v, n in r:
                 counts[values[v]] += n
-            out[a.name] = AttrIndex(a.name, counts, len(r), values=values, value_counts=dict(r))
+            out.append(AttrIndex(a.name, counts, len(r), values=values, value_counts=dict(r)))
     return out
 
 
+def build(rows: DataFrame, schema: Schema) -> dict[str, AttrIndex]:
+    """The index of one segment. Values are counted by all tasks; one task of the segment plans its bins from the counts, whose
+    number the segment's rows bound; the driver gets boundaries and dictionaries only."""
+    if not schema.attrs:
+        return {}
+    ship_package(rows.sparkSession)
+    attrs, rho = schema.attrs, schema.rho
+
+    def planned(batches):
+        found = [{} for _ in attrs]
+        for batch in batches:
+            for pos, text, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                key = _key_of(attrs[pos], text)
+                found[pos][key] = found[pos].get(key, 0) + n  # both zeros are one value
+        made = plan({a.name: sorted(f.items()) for a, f in zip(attrs, found, strict=True)}, Schema(attrs, rho))
+        yield pa.RecordBatch.from_pydict({"index": [json.dumps(i.to_json()) for i in made]})
+
+    lines = runs_of(rows, schema).coalesce(1).mapInArrow(planned, "index string").collect()
+    made = [AttrIndex.from_json(json.loads(line[0])) for line in lines]
+    return {i.name: i for i in made or plan({a.name: [] for a in attrs}, schema)}
+
+
 def bin_column(attr: Attr, index: AttrIndex, spark) -> tuple[Column | None, DataFrame | None]:
     """The bin number of a row, as an expression (range) or as a small table to join (equality)."""
+    if not index.rows:
+        return F.lit(None).cast("int"), None
     if index.boundaries is not None:
         cuts = [_literal(attr, b) for b in index.boundaries[1:-1]]
         bin_ = F.lit(0)

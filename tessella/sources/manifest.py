@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-FORMAT = 1
+FORMAT = 2
 
 
 class Store:

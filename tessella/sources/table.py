@@ -7,19 +7,27 @@ key's newest version matches is always decided on all its versions.
 
 from __future__ import annotations
 
+import bisect
+import math
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.intervals import encode
+from tessella.functions.intervals import encode, from_order_key
 from tessella.functions.query import Query
-from tessella.functions.schema import Schema
+from tessella.functions.schema import EQUALITY, Schema
 from tessella.operators import index as ix
-from tessella.operators.estimator import Estimate, Estimator, SegmentStats
+from tessella.operators.estimator import Estimate, Estimator, SegmentStats, value_counts
 from tessella.sources.manifest import FORMAT, Store
 
+#: Segments of one ingest or compaction that are written at a time.
+WRITERS = 8
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -61,7 +69,7 @@ class Table:
         self.estimator = Estimator(schema.grid_cells) if schema.estimator else None
         self.dropped = False
         if create:
-            self.version, self.segments, self.seq = 0, [], 0
+            self.version, self.segments, self.seq, self.batches = 0, [], 0, {}
             self._publish()
         else:
             versions = [int(n[9:-5]) for n in store.children(name) if n.startswith("manifest-") and n.endswith(".json")]
@@ -71,11 +79,11 @@ class Table:
                 raise ValueError(f"{name}: format {m['format']}")
             if m["schema"] != schema.to_json():
                 raise ValueError(f"{name}: the stored schema differs")
-            self.segments, self.seq = [Segment.from_json(s) for s in m["segments"]], m["seq"]
+            self.segments, self.seq, self.batches = [Segment.from_json(s) for s in m["segments"]], m["seq"], m["batches"]
         self._refresh()
 
     def _publish(self) -> None:
-        content = {"format": FORMAT, "schema": self.schema.to_json(), "seq": self.seq, "segments": [s.to_json() for s in self.segments]}
+        content = {"format": FORMAT, "schema": self.schema.to_json(), "seq": self.seq, "batches": self.batches, "segments": [s.to_json() for s in self.segments]}
         self.store.commit(f"{self.name}/manifest-{self.version + 1}.json", content)
         self.version += 1
 
@@ -110,10 +118,13 @@ class Table:
         self.seq += 1
         self.pending.append((_bytes(pk), *[None] * len(self.schema.attrs), None, self.seq, 1))
 
-    def put_df(self, df: DataFrame, order: str, deletes: str | None = None) -> None:
+    def put_df(self, df: DataFrame, order: str, deletes: str | None = None, batch: tuple[str, int] | None = None) -> None:
         """Bulk ingest: columns pk, the attributes, payload (optional); `order` numbers the versions (a long from 0, later wins,
-        unique); rows whose boolean column `deletes` is true are tombstones. Becomes a segment of its own."""
+        unique); rows whose boolean column `deletes` is true are tombstones. Becomes segments of its own. `batch` is a source's
+        name and a growing number, committed with the rows: a number not above the last one changes nothing."""
         self._alive()
+        if batch and batch[1] <= self.batches.get(batch[0], -1):
+            return
         self.flush()
         op = F.coalesce(F.col(deletes), F.lit(False)).cast("int").cast("byte") if deletes else F.lit(0).cast("byte")
         payload = F.col("payload").cast("binary") if "payload" in df.columns else F.lit(None).cast("binary")
@@ -130,7 +141,7 @@ class Table:
                 wrong = wrong | ~F.col(a.name).between(*[F.lit(str(x)).cast("decimal(20,0)") for x in a.limits()])
         if rows.where(wrong).limit(1).count():
             raise ValueError("null keys, nulls in non-nullable attributes, or values that do not fit")
-        self._add_segment(rows)
+        self._add_segments(rows, batch)
 
     def flush(self) -> None:
         """Pending writes become a segment."""
@@ -140,7 +151,7 @@ class Table:
             held = self.pending
             self.pending = []
             try:
-                self._add_segment(rows)
+                self._add_segments(rows)
             except Exception:
                 self.pending = held
                 raise
@@ -152,10 +163,24 @@ class Table:
         fix = lambda r: tuple(Decimal(v) if i in wide and v is not None else bytearray(v) if isinstance(v, bytes) else v for i, v in enumerate(r))
         return [fix(r) for r in rows]
 
-    def _write(self, rows: DataFrame) -> Segment | None:
-        stage = f"{self.store.root}/{self.name}/stage-{uuid.uuid4().hex}"
-        rows.write.parquet(stage)  # bins need two looks at the rows
-        rows = self.spark.read.schema(self.schema.versions).parquet(stage)
+    def _write(self, rows: DataFrame) -> list[Segment]:
+        """Segments of about schema.segment_rows rows, dealt by key range: all versions of a key stand in one of them."""
+        stage = f"stage-{uuid.uuid4().hex}"
+        at = f"{self.store.root}/{self.name}/{stage}"
+        rows.write.parquet(f"{at}/all")  # bins need two looks at the rows
+        staged = self.spark.read.schema(self.schema.versions).parquet(f"{at}/all")
+        parts = math.ceil(staged.count() / self.schema.segment_rows)
+        frames = [staged][:parts]
+        if parts > 1:
+            staged.repartitionByRange(parts, "pk").withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(f"{at}/dealt")
+            names = [n for n in self.store.children(f"{self.name}/{stage}/dealt") if n.startswith("_part=")]
+            frames = [self.spark.read.schema(self.schema.versions).parquet(f"{at}/dealt/{n}") for n in names]
+        with ThreadPoolExecutor(WRITERS) as pool:
+            made = list(pool.map(self._write_segment, frames))
+        self.store.delete(f"{self.name}/{stage}")
+        return made
+
+    def _write_segment(self, rows: DataFrame) -> Segment:
         indexes = ix.build(rows, self.schema)
         out = rows
         for a in self.schema.attrs:
@@ -169,23 +194,21 @@ class Table:
         columns = [*self.schema.versions.names, *[f"_bin_{a.name}" for a in self.schema.attrs]]
         out.select(columns).repartitionByRange("pk").sortWithinPartitions("pk", F.desc("_seq")).write.parquet(f"{self.store.root}/{self.name}/segment-{name}")
         s = rows.agg(F.count(F.lit(1)), F.sum("_op"), F.min("pk"), F.max("pk"), F.min("_seq"), F.max("_seq")).first()
-        self.store.delete(f"{self.name}/{stage.rsplit('/', 1)[1]}")
-        if not s[0]:
-            self.store.delete(f"{self.name}/segment-{name}")
-            return None
         single = s[1] == 0 and not self.read_segment(name).groupBy("pk").count().where("count > 1").limit(1).count()
         return Segment(name, s[0], int(s[1]), bytes(s[2]), bytes(s[3]), s[4], s[5], single, indexes)
 
-    def _add_segment(self, rows: DataFrame) -> None:
-        segment = self._write(rows)
-        if segment:
-            self.segments = [*self.segments, segment]
-            self.seq = max(self.seq, segment.most_seq)
+    def _add_segments(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        made = self._write(rows)
+        if made or batch:
+            self.segments = [*self.segments, *made]
+            self.seq = max([self.seq, *[s.most_seq for s in made]])
+            if batch:
+                self.batches = self.batches | {batch[0]: batch[1]}
             self._publish()
             self._refresh()
 
     def compact(self) -> None:
-        """One segment of the versions that the newest state or a held snapshot sees; without snapshots no tombstone stays."""
+        """Disjoint segments of the versions that the newest state or a held snapshot sees; without snapshots no tombstone stays."""
         self._alive()
         self.flush()
         if not self.segments:
@@ -197,8 +220,7 @@ class Table:
         for k in keep:
             live = live.unionByName(k)
         old = self.segments
-        segment = self._write(live.dropDuplicates(["pk", "_seq"]))
-        self.segments = [segment] if segment else []
+        self.segments = self._write(live.dropDuplicates(["pk", "_seq"]))
         self._publish()
         held = {s.version for s in self._snapshots}
         if not held:  # files that a held snapshot may read stay
@@ -259,31 +281,52 @@ class Table:
         coded = encode(query, self.schema)
         return [s for s in self.segments if ix.can_match(s.indexes, coded)], coded
 
+    def _settled(self, segments: list[Segment], pending: list[bytes], seq: int) -> list[Segment]:
+        """Segments whose rows are final: one version a key, no tombstone, and no other segment or pending row in their key range."""
+        by, pending = sorted(segments, key=lambda s: (s.least_pk, s.most_pk)), sorted(pending)
+        out, reach = [], None
+        for s, after in zip(by, [*by[1:], None], strict=False):
+            alone = (reach is None or reach < s.least_pk) and (after is None or after.least_pk > s.most_pk)
+            if alone and s.single and s.most_seq <= seq and bisect.bisect_left(pending, s.least_pk) == bisect.bisect_right(pending, s.most_pk):
+                out.append(s)
+            reach = s.most_pk if reach is None else max(reach, s.most_pk)
+        return out
+
     def find(self, query: Query, snapshot: Snapshot | None = None) -> DataFrame:
-        """Live rows that match, unordered."""
+        """Live rows that match, unordered. Settled segments are filtered without a shuffle; versions of the others meet by key."""
         self._alive()
         where = query.to_column(self.schema)
         good, coded = self._matching(query)
+        names, seq = self.schema.rows.names, self.seq if snapshot is None else snapshot.seq
         if coded.unsat:
             return self.spark.createDataFrame([], self.schema.rows)
-        names = self.schema.rows.names
-        memory = self._memtable(snapshot)
-        pending = bool(self.pending if snapshot is None else snapshot.pending)
-        disjoint = _disjoint(self.segments) and all(s.single for s in self.segments)
-        if disjoint and not pending and (snapshot is None or all(s.most_seq <= snapshot.seq for s in self.segments)):
-            return self._stored(good).where(where).select(names)  # each key has one version: no shuffle
-        versions = self.raw(snapshot)
-        if query.clauses and len(good) < len(self.segments):
-            keys = memory.select("pk")
-            for s in good:
-                keys = keys.unionByName(self.read_segment(s.name).where(ix.candidate_column(s.indexes, coded)).select("pk"))
-            versions = versions.join(keys.distinct(), "pk", "left_semi")
-        return self._newest(versions).where("_op = 0").where(where).select(names)
+        seen = [s for s in self.segments if s.least_seq <= seq]
+        pending = [r[0] for r in (self.pending if snapshot is None else snapshot.pending)]
+        settled = {s.name for s in self._settled(seen, pending, seq)}
+        parts = []
+        if plain := [s for s in good if s.name in settled]:
+            parts.append(self._stored(plain).where(where).select(names))
+        mixed = [s for s in seen if s.name not in settled]
+        if mixed or pending:
+            memory = self._memtable(snapshot)
+            versions = self._stored(mixed).select(self.schema.versions.names).unionByName(memory).where(F.col("_seq") <= seq)
+            found = [s for s in good if s.name not in settled and s.least_seq <= seq]
+            if len(found) < len(mixed):
+                keys = memory.select("pk")
+                for s in found:
+                    keys = keys.unionByName(self.read_segment(s.name).where(ix.candidate_column(s.indexes, coded)).select("pk"))
+                versions = versions.join(keys.distinct(), "pk", "left_semi")
+            parts.append(self._newest(versions).where("_op = 0").where(where).select(names))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.schema.rows)
 
     def scan(self, query: Query | None = None, snapshot: Snapshot | None = None) -> DataFrame:
         """find in ascending key order."""
         return self.find(query or Query(), snapshot).orderBy("pk")
 
+    def cursor(self, query: Query | None = None, snapshot: Snapshot | None = None) -> Iterator[Row]:
+        """scan row by row; the driver holds one partition at a time."""
+        return self.scan(query, snapshot).toLocalIterator()
+
     def candidates(self, query: Query, snapshot: Snapshot) -> DataFrame:
         """Keys whose bins match at the snapshot: a superset of the matches that may hold stale and deleted keys."""
         self._alive()
@@ -320,11 +363,19 @@ class Table:
         """bin, n_rows of a segment's attribute, from its bin column."""
         return self.read_segment(segment.name).where(F.col(f"_bin_{attr}").isNotNull()).groupBy(F.col(f"_bin_{attr}").alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
 
+    def value_counts(self, attr: str) -> DataFrame:
+        """value, n_rows of an equality attribute over all segments, as their bins know them: values of one bin share its rows."""
+        a = self.schema.attr(attr)
+        if a.index != EQUALITY:
+            raise ValueError(f"{attr} has range bins")
+        parts = []
+        for s in self.segments:
+            found = value_counts(s.indexes[a.name])
+            parts += [(bytearray(k) if a.is_bytes else str(from_order_key(a, k)), n) for k, n in found.items()]
+        rows = self.spark.createDataFrame(parts, f"value {'binary' if a.is_bytes else 'string'}, n_rows double")
+        return rows.groupBy(F.col("value").cast(a.spark_type).alias("value")).agg(F.sum("n_rows").alias("n_rows"))
+
 
 def _bytes(value) -> bytes:
     return value.encode() if isinstance(value, str) else bytes(value or b"")
 
-
-def _disjoint(segments: list[Segment]) -> bool:
-    by = sorted(segments, key=lambda s: s.least_pk)
-    return all(a.most_pk < b.least_pk for a, b in zip(by, by[1:], strict=False))

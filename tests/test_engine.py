@@ -8,6 +8,7 @@ import pytest
 from tessella.functions.query import Query, matches
 from tessella.functions.schema import EQUALITY, FLOAT, INT, VARBINARY, Attr, Schema
 from tessella.sources.database import Database
+from tessella.streaming import ingest
 
 SCHEMA = Schema((Attr("n", physical=INT, width=4, nullable=True), Attr("f", physical=FLOAT), Attr("s", EQUALITY, VARBINARY, 0)), 0.2, True)
 
@@ -95,3 +96,47 @@ def test_pruning_and_estimates(spark, tmp_path):
     t.put_df(df.where("a < 100").withColumn("a", df.a + 10_000), "o")
     assert t.find(Query.of(("a", "<", 1000))).count() == 900
     assert t.estimator.rebuilds == 1  # 100 of 2000 rows are no reason to rebuild
+
+
+def test_segments_are_bounded_and_settled_ones_need_no_shuffle(spark, tmp_path):
+    schema = Schema((Attr("a", physical=INT), Attr("b", EQUALITY, VARBINARY, 0)), 0.1, False, 256, 300)
+    t = Database(spark, str(tmp_path / "db"), schema).table()
+    df = spark.range(1000).selectExpr("cast(lpad(id, 5, '0') as binary) AS pk", "id AS a", "cast('v' || (id % 4) as binary) AS b", "id AS o")
+    t.put_df(df, "o")
+    assert len(t.segments) == 4 and sum(s.rows for s in t.segments) == 1000 and all(s.single for s in t.segments)
+    plan = lambda q: t.find(q)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(Query())
+    assert t.find(Query.between("a", 100, 899)).count() == 800
+    assert {bytes(r.value): r.n_rows for r in t.value_counts("b").collect()} == {b"v%d" % i: 250 for i in range(4)}
+    t.put("00999", [-1, "v0"])
+    t.delete("00000")
+    assert len(t._settled(t.segments, [b"00000", b"00999"], t.seq)) == 2
+    assert sorted(r.a for r in t.cursor()) == [-1, *range(1, 999)]
+    t.flush()
+    assert t.find(Query.of(("a", "<", 10))).count() == 10 and t.find(Query.of(("a", ">", 990))).count() == 8
+    t.compact()
+    assert len(t.segments) == 4 and "Exchange" not in plan(Query()) and t.live().count() == 999
+
+
+def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "db")
+    t = Database(spark, root, SCHEMA).table()
+    rows = spark.createDataFrame([("k%d" % i, i, float(i), "x", i, i == 3) for i in range(6)], "pk string, n int, f double, s string, o long, gone boolean")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    ingest(stream, t, "o", "gone").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.n for r in t.live().collect()) == [0, 1, 2, 4, 5]
+    t.put("k1", [99, 1.0, "x"])
+    t.flush()
+    again = Database(spark, root, SCHEMA).table()
+    again.put_df(rows, "o", "gone", ("stream", 0))
+    assert sorted(r.n for r in again.live().collect()) == [0, 2, 4, 5, 99]
+
+
+def test_empty_ingest(spark, tmp_path):
+    t = Database(spark, str(tmp_path / "db"), SCHEMA).table()
+    t.put_df(spark.createDataFrame([], "pk string, n int, f double, s string, o long"), "o")
+    assert not t.segments and not t.live().count()
+    t.delete("k")
+    t.compact()
+    assert not t.segments and not t.candidates(Query(), t.snapshot()).count()
