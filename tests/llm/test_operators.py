@@ -270,6 +270,19 @@ def test_op9_tail_is_the_exact_binomial(spark):
         assert math.isclose(math.exp(got), exact, rel_tol=1e-9)
 
 
+def test_op9_a_certified_cutoff_rejects_labelled_junk(spark):
+    """7,400 good labels certify a cutoff of 'en' (two strata: 6,621 are needed), 40 don't one of 'es'."""
+    rows = spark.range(7780).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 7700, "en").otherwise("es").alias("lang"), ((F.col("id") < 7400) | (F.col("id") >= 7740)).cast("int").alias("quality"),
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("word"), i.cast("string")))).alias("text"),
+    )
+    docs = rows.withColumn("text", F.when(F.col("quality") == 0, F.regexp_replace("text", "word", "#####")).otherwise(F.col("text")))
+    out = quality.quality_verdicts(docs.drop("quality"), rows.select("doc_id", "quality"))
+    assert not out.where("base_failed").count()
+    got = {(r.stratum, r.quality): (r.n, r.kept) for r in out.join(rows, "doc_id").groupBy("stratum", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert got == {("en", 1): (7400, 7400), ("en", 0): (300, 0), ("es", 1): (40, 40), ("es", 0): (40, 40)}
+
+
 def _components(rows):
     sets = collections.defaultdict(list)
     for i, t in rows:
