@@ -41,3 +41,19 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_tokens_keep_the_training_order(spark, tmp_path):
+    """Over several files, of which the later ones are the larger: readers take those first."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (5 + i % 7)), "en", "ab"[i % 2], 0) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    due = {r.doc_id: sorted(c.position for c in r.copies if 2 * c.taken >= r.size) for r in mixing.mix(docs).collect()}
+    rows = [tuple(r) for r in corpus_pipeline.mixing_stage(spark, docs, DATA).collect()]
+    parts = [rows[:20], rows[20:60], rows[60:150], [(i, f"{t} {'more ' * 400}", *r) for i, t, *r in rows[150:]]]
+    path = str(tmp_path / "mixing")
+    table = spark.createDataFrame(spark.sparkContext.parallelize(parts, 4).flatMap(lambda p: p), docs.schema)
+    table.write.option("maxRecordsPerFile", 70).parquet(path)
+    out = corpus_pipeline.token_stage(spark, spark.read.parquet(path), DATA).select("doc_id", "position").collect()
+    got = [r.doc_id for r in sorted(out, key=lambda r: r.position)]
+    assert len({r.position for r in out}) == len(out) == sum(map(len, due.values())) and [r.doc_id for r in out] != got
+    at = [due[i].pop(0) for i in got]
+    assert at == sorted(at)
