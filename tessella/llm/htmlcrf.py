@@ -29,6 +29,8 @@ from tessella.runtime import ship_package
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head noscript template svg iframe object canvas audio video math title".split())
+# What may stand in a head; any other tag, or text, ends one that is open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Tags that an open tag closes when one of the same group opens.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -86,15 +88,25 @@ def leaf_blocks(page: str) -> list[Block]:
             hidden -= tag in HIDDEN
         del stack[upto:]
 
+    def end_head() -> None:
+        """Close a head that is the innermost open tag but for titles that nothing ends: </head> may be left out."""
+        at = len(stack)
+        while at and stack[at - 1][0] in ("head", "title"):
+            at -= 1
+        at = next((i for i in range(at, len(stack)) if stack[i][0] == "head"), -1)
+        if at >= 0:
+            close(at)
+
     n = len(page)
     while pos < n:
         m = _TAG.search(page, pos)
+        upto = m.start() if m else n
+        if hidden and stack[-1][0] == "head" and page[pos:upto].strip():
+            end_head()
+        if upto > pos and not hidden:
+            add(page[pos:upto])
         if not m:
-            if not hidden:
-                add(page[pos:])
             break
-        if m.start() > pos and not hidden:
-            add(page[pos : m.start()])
         pos = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -108,6 +120,8 @@ def leaf_blocks(page: str) -> list[Block]:
                     flush()
                 close(at)
             continue
+        if hidden and tag not in IN_HEAD:
+            end_head()
         if tag in BLOCK:
             flush()
         elif tag == "br":
@@ -120,7 +134,13 @@ def leaf_blocks(page: str) -> list[Block]:
                 break
         if tag in VOID or m[0].endswith("/>"):
             continue
-        if tag in ("script", "style", "textarea", "title", "noscript") and not hidden:
+        in_head = bool(stack) and stack[-1][0] == "head"
+        if in_head and tag in ("script", "style", "title", "noscript"):
+            end = re.compile(rf"</({tag}|head)\s*>", re.I).search(page, pos)  # tags in their content don't end the head
+            if end and end[1].lower() == tag:
+                pos = end.end()
+                continue
+        elif tag in ("script", "style", "textarea", "title", "noscript") and not hidden:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)  # their content is not markup
             if tag != "textarea":
                 pos = end.end() if end else n

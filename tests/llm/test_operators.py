@@ -240,6 +240,31 @@ def test_op8_matches_articles_and_held_out_pages(spark):
     assert got[1] == got[2] == got[3] == got[4] == "" and got[5] == "a & b\nc"
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<head><title>x</title><body>", "<head><title>x</title><meta charset=utf-8><link href=y>", "<head><script>document.write('<body><p>no')</script><style>p > a {}</style><body>",
+        "<head><title>x<body>", "<head><head><title>x</title></head><body>", "<head><template><div>no</div></template><body/>", "<head><title>The <body> tag</title></head><body>", "<head><script>x</head><body>",
+    ],
+)
+def test_op8_head_without_end(head):
+    blocks = htmlcrf.leaf_blocks(f"<html>{head}<article><p>text of a page<p>more</article><svg><title>no</title></svg></html>")
+    if "<title>x<body>" in head:  # here the next </title> is the title's end, as in browsers
+        blocks = htmlcrf.leaf_blocks(f"<html>{head}<article><p>text of a page<p>more</article></html>")
+    assert [b.text for b in blocks] == ["text of a page", "more"] and all("head" not in b.path for b in blocks)
+
+
+def test_op8_text_ends_a_head():
+    assert [b.text for b in htmlcrf.leaf_blocks("<head><title>x</title>\n text<p>more")] == ["text", "more"]
+
+
+def test_op8_page_without_head_end(spark):
+    page = "<html><head><title>x</title><body><nav><a href='/'>home</a></nav><article><h1>A title</h1><p>This is the text of the page, and it goes on for some time.</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", page.replace("<body>", "</head><body>"))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmlcrf.extract(pages).collect()}
+    assert got[1] == got[2] and "This is the text of the page" in got[1]
+
+
 def _features(t):
     t = t or ""
     w = [x for x in re.split(r"[\x20\x09-\x0d]+", t) if x]
