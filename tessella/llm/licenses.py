@@ -4,8 +4,9 @@ Every text is cut into words; a hash rolls over each k words. Spark joins these
 k-gram has in the templates, and each match votes for one diagonal: word number in the text minus word number in the
 template. Votes are summed by diagonal; neighbouring diagonals of a template (a few words inserted or left out) are
 merged into spans; a span is verified by the grams' own words and scored by the share of the template's words it
-covers. Two kinds of templates go the same way: phrases, which count only if all their words stand on one diagonal, and
-license texts, which count from `least` coverage.
+covers. Three kinds of templates go the same way: phrases and short notices, which count only if all their words stand on
+one diagonal, and license texts, which count from `least` coverage. Of notices that start at one word the longest counts;
+only phrases make the base columns.
 
 The templates are a fixed, small table. So that grams without any template position never leave the scan, the scan
 tests each rolling hash against the set of template hashes (a broadcast semi-join); the join proper is Spark's.
@@ -31,6 +32,28 @@ from tessella.runtime import ship_package
 # Phrases that name a license.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+
+def _notices() -> tuple[tuple[str, str], ...]:
+    """Short notices: names and addresses of the Creative Commons family, one-line notices of other licenses."""
+    rights = {
+        "": ("", ""), "-sa": ("sa", "sharealike|share alike"), "-nc": ("nc", "noncommercial|non commercial"), "-nd": ("nd", "noderivatives|no derivatives|noderivs|no derivs"),
+        "-nc-sa": ("nc sa", "noncommercial sharealike|non commercial share alike|noncommercial share alike"),
+        "-nc-nd": ("nc nd", "noncommercial noderivatives|non commercial no derivatives|noncommercial no derivatives|noncommercial noderivs"),
+    }
+    out = [("cc0 1 0", "cc0"), ("cc0 license", "cc0"), ("creative commons zero", "cc0"), ("creativecommons org publicdomain zero", "cc0"), ("creative commons license", "cc"), ("creative commons licence", "cc")]
+    for right, (short, names) in rights.items():
+        # "cc by" alone also stands in other texts: it takes a version or the word license.
+        ends = (short,) if short else ("1 0", "2 0", "2 5", "3 0", "4 0", "license", "licence")
+        out += [(f"cc by {end}", f"cc-by{right}") for end in ends] + [(f"creativecommons org licenses by {short}".strip(), f"cc-by{right}")]
+        out += [(f"creative commons attribution {name}".strip(), f"cc-by{right}") for name in names.split("|")]
+    for label, names in (("mit", "mit"), ("apache", "apache"), ("gpl", "gpl|gnu gpl"), ("bsd", "bsd|new bsd|simplified bsd"), ("isc", "isc"), ("mpl", "mpl")):
+        out += [(f"{start} {name}", label) for name in names.split("|") for start in ("licensed under", "licensed under the", "spdx license identifier")]
+    return (*out, ("bsd license", "bsd"), ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"), ("isc license", "isc"), ("mozilla public license", "mpl"), ("the unlicense", "unlicense"))
+
+
+# Lines that name a license and are no phrase of the base columns.
+NOTICES = _notices()
+
 # Opening or notice paragraphs of public licenses.
 TEXTS = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
@@ -64,29 +87,29 @@ def _rolling(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def template_rows() -> tuple[list[tuple], dict[bytes, int]]:
-    """(template, label, phrase?, words, k, hash, position, gram) rows, and numbers of all template words."""
-    texts = [(p, label, True) for p, label in PHRASES] + [(t, label, False) for label, t in TEXTS]
+    """(template, label, phrase?, whole?, words, k, hash, position, gram) rows, and numbers of all template words."""
+    texts = [(p, label, True, True) for p, label in PHRASES] + [(t, label, False, False) for label, t in TEXTS] + [(t, label, False, True) for t, label in NOTICES]
     number: dict[bytes, int] = {}
-    for t, _, _ in texts:
+    for t, *_ in texts:
         for w in license_words(t):
             number.setdefault(w, len(number) + 1)
     rows = []
-    for i, (t, label, phrase) in enumerate(texts):
-        ws, k = license_words(t), PHRASE_K if phrase else TEXT_K
+    for i, (t, label, phrase, whole) in enumerate(texts):
+        ws, k = license_words(t), PHRASE_K if whole else TEXT_K
         for j, h in enumerate(_rolling(np.array([number[w] for w in ws]), k).tolist()):
-            rows.append((i, label, phrase, len(ws), k, h, j, b" ".join(ws[j : j + k]).decode()))
+            rows.append((i, label, phrase, whole, len(ws), k, h, j, b" ".join(ws[j : j + k]).decode()))
     return rows, number
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(template_rows()[0], "template int, label string, phrase boolean, size int, k int, hash long, at int, gram string")
+    return spark.createDataFrame(template_rows()[0], "template int, label string, phrase boolean, whole boolean, size int, k int, hash long, at int, gram string")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: row (its number in this scan), doc_id, n_words, grams array<struct<k, hash, pos, gram>>."""
     ship_package(docs.sparkSession)
     rows, number = template_rows()
-    wanted = {k: np.array(sorted({r[5] for r in rows if r[4] == k}), np.int64) for k in (PHRASE_K, TEXT_K)}
+    wanted = {k: np.array(sorted({r[6] for r in rows if r[5] == k}), np.int64) for k in (PHRASE_K, TEXT_K)}
     kind = pa.struct([("k", pa.int32()), ("hash", pa.int64()), ("pos", pa.int64()), ("gram", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +145,14 @@ def spans(scanned: DataFrame, gap: int = 4, reach: int = 40) -> DataFrame:
     same = Window.partitionBy("row", "template", "diagonal").orderBy("pos")
     jump = (F.col("pos") - F.lag("pos").over(same) > reach) | (F.col("at") < F.lag("at").over(same))
     votes = votes.withColumn("run", F.sum(F.coalesce(jump, F.lit(False)).cast("int")).over(same))
-    lines = votes.groupBy("row", "template", "label", "phrase", "size", "k", "diagonal", "run").agg(
+    lines = votes.groupBy("row", "template", "label", "phrase", "whole", "size", "k", "diagonal", "run").agg(
         F.count(F.lit(1)).alias("votes"), F.min("pos").alias("start"), (F.max("pos") + F.col("k")).alias("stop"),
         F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)))).alias("covered"),
     )  # at most as many votes as the template has grams
-    whole = lines.where(F.col("phrase") & (F.col("votes") == F.col("size") - F.col("k") + 1))
-    texts = lines.where(~F.col("phrase"))
+    whole = lines.where(F.col("whole") & (F.col("votes") == F.col("size") - F.col("k") + 1))
+    longest = F.max("size").over(Window.partitionBy("row", "phrase", "start"))
+    whole = whole.withColumn("longest", longest).where(F.col("phrase") | (F.col("size") == F.col("longest")))
+    texts = lines.where(~F.col("whole"))
     near = Window.partitionBy("row", "template").orderBy("start", "diagonal")
     apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(near)) > gap) | (F.col("start") - F.lag("stop").over(near) > reach)
     texts = texts.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(near))

@@ -222,6 +222,17 @@ def test_op7_finds_altered_texts(spark):
     assert got[1].labels == label and got[1].score > 0.7 and got[2].labels == "" and got[3].labels == ""
 
 
+def test_op7_labels_short_notices(spark):
+    lines = {
+        "Licensed under CC BY-NC 4.0": "cc-by-nc", "CC BY 4.0": "cc-by", "cc by-nc-sa": "cc-by-nc-sa", "Creative Commons Attribution-ShareAlike 3.0": "cc-by-sa", "https://creativecommons.org/licenses/by-nd/4.0/": "cc-by-nd",
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd", "Licensed under the ISC": "isc", "please cc by mail": "", "CC0 1.0": "cc0",
+    }
+    docs = spark.createDataFrame([(i, f"some words before\n{t}\nsome words after") for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_digest(docs).collect()}
+    assert [got[i].labels for i in range(len(lines))] == list(lines.values())
+    assert all(r.n_base == 0 and r.base_labels == "" and r.score == float(r.labels != "") for r in got.values())
+
+
 def test_op8_matches_articles_and_held_out_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     for r, p in zip(sorted(htmlcrf.extract(pages).collect()), sorted(pages.collect()), strict=True):
