@@ -1,14 +1,21 @@
 """Operator 9: quality rules whose cutoffs carry a finite-sample guarantee.
 
-A rule rejects a document when one metric lies beyond a cutoff. Labelled good documents are the holdout: for a
-cutoff that falsely rejects k of the n good documents of a stratum, the exact binomial tail P(Bin(n, a) <= k) is the
-p-value of "this cutoff rejects more than a share a of good documents". Cutoffs of one rule are tested from the
-loosest to the tightest and testing stops at the first failure (fixed-sequence testing), so a rule needs no correction
-for its number of cutoffs; rules and strata are corrected by Bonferroni. With probability 1 - delta all chosen cutoffs
-hold at once, and in each stratum the rules together reject at most a share alpha of good documents. Among certified
-cutoffs the one with the largest (bad share - good share) is used; if none beats zero, or none is certified, the rule is off.
-
-Everything is DataFrame functions: no Python runs on executors and nothing but the schema reaches the driver.
+A rule rejects a document when one metric lies beyond a cutoff. Labelled documents that pass the base rule are split by a
+hash of their id into a design half and a holdout half. The design half proposes, for each stratum, a path of rule sets: at
+level q of LEVELS each rule has the loosest of its best cutoffs among those that falsely reject at most a share q of good
+design documents, and is off where it would take less than LEAST_GAIN of the bad ones. The rule sets tighten along the path.
+The holdout half certifies: if a rule set falsely rejects k of the n good holdout documents of a stratum, the exact binomial
+tail P(Bin(n, alpha) <= k) is the p-value of "its rules together reject more than a share alpha of good documents". Levels
+are tested in order and testing stops at the first failure (fixed-sequence testing), so a path needs no correction for its
+length; strata are corrected by Bonferroni. With probability 1 - delta all rule sets in use hold at once. Of the certified
+levels the one with the largest (bad share - good share / alpha) on the design half is used.
+
+A stratum with fewer good holdout documents than could certify a rule set without any false rejection,
+ln(delta / strata) / ln(1 - alpha), is pooled with the others of this kind: they share one rule set, and the guarantee is the
+pool's. If the pool is too small as well, its rules are off. The guarantee is about good documents that pass the base rule;
+what the base rule rejects is not the method's doing.
+
+Everything is DataFrame functions: no Python runs on executors and nothing but the schema and a number reaches the driver.
 
 Edge cases: a null or blank text has no words and fails the base rule; a null stratum is a stratum of its own; strata
 without labels keep all that passes the base rule; labels for unknown documents and null labels are ignored; of
@@ -50,6 +57,10 @@ RULES = (
     Rule("short_words", "mean_word", False, 1.0, 4.0),
 )
 GRID = 48
+#: False-rejection shares of the design half that make the path, and the share of bad documents below which a rule stays off.
+LEVELS = (0.0, 0.0025, 0.005, 0.01, 0.02, 0.03)
+LEAST_GAIN = 0.05
+ALPHA, DELTA = 0.05, 0.05
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -169,40 +180,68 @@ def log_binomial_tail(k: Column, n: Column, p: float, terms: int = 400) -> Colum
     return first + F.log(grow)
 
 
-def fit_cutoffs(
-    measured: DataFrame, labels: DataFrame, m: str, stratum: str = "lang", doc_id: str = "doc_id", alpha: float = 0.004, delta: float = 0.05
-) -> DataFrame:
-    """One row per stratum with labels: `stratum`, and for each rule of RULES its cutoff (null: the rule is off).
+def in_design(doc_id: Column) -> Column:
+    """Whether a labelled document is in the design half: a hash that SQL engines share."""
+    return F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 1) < "8"
 
-    Counting is over all labelled documents, pre-aggregated to (stratum, rule, step) cells.
-    """
-    good = labels.groupBy(F.col(doc_id).alias("label_id")).agg(F.min("quality").alias("label"))
-    rows = measured.select(F.col(doc_id).alias("label_id"), F.col(stratum).alias("stratum"), F.col(m).alias("m")).where(~base_failed(F.col("m")))
-    rows = rows.join(good.where(F.col("label").isNotNull()), "label_id")
-    cells = F.array(*[F.struct(F.lit(i).alias("rule"), _first_step(r, metric(F.col("m"), r.metric)).alias("step")) for i, r in enumerate(RULES)])
-    counted = write_table(
-        rows.select("stratum", (F.col("label") > 0).alias("good"), F.explode(cells).alias("c"))
-        .groupBy("stratum", "c.rule", "c.step")
-        .agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")),
-        "cells",
+
+def _design_steps(design: DataFrame, alpha: float) -> DataFrame:
+    """pool, key, level, steps: the rule set (a step for each rule, null if off) that the design half proposes at each level."""
+    counted = (
+        design.select("pool", "key", "good", F.posexplode("steps").alias("rule", "step"))
+        .groupBy("pool", "key", "rule", "step").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
     )
-    per = counted.groupBy("stratum", "rule").agg(
+    per = counted.groupBy("pool", "key", "rule").agg(
         F.map_from_entries(F.collect_list(F.struct("step", F.struct("good", "bad")))).alias("at"), F.sum("good").alias("n"), F.sum("bad").alias("n_bad")
     )  # at most GRID + 1 cells
     got = lambda f: F.coalesce(F.try_element_at(F.col("at"), F.col("step"))[f], F.lit(0))
-    w = Window.partitionBy("stratum", "rule").orderBy("step")
-    level = alpha / len(RULES)
+    w = Window.partitionBy("pool", "key", "rule").orderBy("step")
     steps = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("step"))
-    steps = steps.select("stratum", "rule", "step", "n", "n_bad", F.sum(got("good")).over(w).alias("k"), F.sum(got("bad")).over(w).alias("k_bad"))
-    tests = len(RULES) * counted.select("stratum").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata")).scalar()
-    passed = (F.col("k") <= level * F.col("n")) & (log_binomial_tail(F.col("k"), F.col("n"), level) <= F.log(F.lit(delta) / tests))
-    steps = steps.withColumn("ok", F.min(F.coalesce(passed, F.lit(False)).cast("int")).over(w) == 1)
-    gain = F.col("k_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("k") / F.greatest(F.col("n"), F.lit(1))
-    best = (
-        steps.where("ok").withColumn("gain", gain).where("gain > 0")
-        .groupBy("stratum", "rule").agg(F.max_by("step", F.struct(F.col("gain"), -F.col("step"))).alias("step"))
+    steps = steps.select("pool", "key", "rule", "step", "n", "n_bad", F.sum(got("good")).over(w).alias("k"), F.sum(got("bad")).over(w).alias("k_bad"))
+    steps = steps.where((F.col("k_bad") > 0) & (F.col("k_bad") >= LEAST_GAIN * F.col("n_bad"))).withColumn("gain", _gain("k", "n", "k_bad", "n_bad", alpha))
+    steps = steps.select("*", F.posexplode(F.array(*[F.lit(q) for q in LEVELS])).alias("level", "q")).where(F.col("k") <= F.col("q") * F.col("n"))
+    best = steps.groupBy("pool", "key", "level", "rule").agg(F.max_by("step", F.struct("gain", -F.col("step"))).alias("step"))
+    return best.groupBy("pool", "key", "level").agg(F.array(*[F.max(F.when(F.col("rule") == i, F.col("step"))) for i in range(len(RULES))]).alias("path"))
+
+
+def _gain(k: str, n: str, k_bad: str, n_bad: str, alpha: float) -> Column:
+    """What a cutoff is worth: using up the whole risk costs as much as all bad documents bring."""
+    return F.col(k_bad) / F.greatest(F.col(n_bad), F.lit(1)) - F.col(k) / F.greatest(F.col(n), F.lit(1)) / alpha
+
+
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, m: str, stratum: str = "lang", doc_id: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row per stratum with a certified rule set: `stratum`, and for each rule of RULES its cutoff (null: the rule is off).
+
+    Counting is over all labelled documents, pre-aggregated to (stratum, rule, step) and (stratum, level) cells.
+    """
+    good = labels.groupBy(F.col(doc_id).alias("label_id")).agg(F.min("quality").alias("label"))
+    rows = measured.select(F.col(doc_id).alias("label_id"), F.col(stratum).alias("stratum"), F.col(m).alias("m")).where(~base_failed(F.col("m")))
+    rows = rows.join(good.where(F.col("label").isNotNull()), "label_id")
+    steps = F.array(*[_first_step(r, metric(F.col("m"), r.metric)) for r in RULES])
+    rows = write_table(rows.select("stratum", (F.col("label") > 0).alias("good"), in_design(F.col("label_id")).alias("design"), steps.alias("steps")), "labelled")
+    holdout = F.sum((F.col("good") & ~F.col("design")).cast("long"))
+    strata = write_table(rows.groupBy("stratum").agg(holdout.alias("n")), "strata")
+    tests = strata.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata")).scalar()
+    small = F.col("n") < F.ceil(F.log(F.lit(delta) / tests) / math.log(1 - alpha))
+    strata = strata.select(F.col("stratum").alias("of"), small.alias("pool"), F.when(~small, F.col("stratum")).alias("key"))
+    rows = rows.join(checked_broadcast(strata), F.col("stratum").eqNullSafe(F.col("of"))).select("pool", "key", "good", "design", "steps")
+    path = write_table(_design_steps(rows.where("design"), alpha), "path")  # a few rows for each stratum
+    side = checked_broadcast(path.select(F.col("pool").alias("p_pool"), F.col("key").alias("p_key"), "level", "path"))
+    tried = rows.join(side, F.col("pool").eqNullSafe(F.col("p_pool")) & F.col("key").eqNullSafe(F.col("p_key")))
+    fires = F.exists(F.zip_with("steps", "path", lambda x, y: F.coalesce(x <= y, F.lit(False))), lambda x: x)
+    count = lambda where: F.sum(where.cast("long"))
+    good_, design = F.col("good"), F.col("design")
+    tried = tried.withColumn("fires", fires).groupBy("pool", "key", "level").agg(
+        count(good_ & ~design).alias("n"), count(good_ & ~design & F.col("fires")).alias("k"),
+        count(good_ & design).alias("d_n"), count(good_ & design & F.col("fires")).alias("d_k"), count(~good_ & design).alias("d_bad"), count(~good_ & design & F.col("fires")).alias("d_k_bad"),
     )
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, cutoff(r, F.col("step")))).alias(r.name) for i, r in enumerate(RULES)])
+    passed = (F.col("n") > 0) & (F.col("k") <= alpha * F.col("n")) & (log_binomial_tail(F.col("k"), F.col("n"), alpha) <= F.log(F.lit(delta) / tests))
+    tried = tried.withColumn("ok", F.min(F.coalesce(passed, F.lit(False)).cast("int")).over(Window.partitionBy("pool", "key").orderBy("level")) == 1)
+    tried = tried.withColumn("gain", _gain("d_k", "d_n", "d_k_bad", "d_bad", alpha)).where("ok AND gain > 0")
+    best = tried.groupBy(F.col("pool").alias("c_pool"), F.col("key").alias("c_key")).agg(F.max_by("level", F.struct("gain", -F.col("level"))).alias("c_level"))
+    chosen = path.join(best, F.col("pool").eqNullSafe(F.col("c_pool")) & F.col("key").eqNullSafe(F.col("c_key")) & (F.col("level") == F.col("c_level"))).select("c_pool", "c_key", "path")
+    out = strata.join(chosen, F.col("pool").eqNullSafe(F.col("c_pool")) & F.col("key").eqNullSafe(F.col("c_key")))
+    return out.select(F.col("of").alias("stratum"), *[cutoff(r, F.get(F.col("path"), F.lit(i))).alias(r.name) for i, r in enumerate(RULES)])
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, m: str, stratum: str = "lang") -> tuple[DataFrame, str]:
@@ -229,14 +268,12 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text", **risk) -> DataFrame:
     """The rows of docs that are kept, with all their columns and nothing else.
 
-    Texts are measured twice (once for the cutoffs, once for the verdict) and never shuffled.
+    Texts are measured once, into a table that holds the documents with what was measured, and never shuffled.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
-    table = write_table(measure(plain).select("doc_id", "stratum", F.col("quality_m").alias("m")), "quality")
-    cutoffs = fit_cutoffs(table, labels.withColumnRenamed(doc_id, "doc_id"), "m", "stratum", **risk)
     m = fresh_name(docs.columns, "quality_m")
-    # A filter on what was measured must stay above the measuring: pushed below it, its expressions would be repeated over and
-    # over. No filter passes a row number that it needs.
-    guard = fresh_name(docs.columns, "quality_row")
-    out, kept = judge(measure(docs, text).withColumn(guard, F.monotonically_increasing_id()), cutoffs, m, stratum)
-    return out.where(F.col(kept) & (F.col(guard) >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    measured = measure(docs, text)
+    table = write_table(measured, "measured")
+    plain = table.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(m).alias("m"))
+    cutoffs = fit_cutoffs(plain, labels.withColumnRenamed(doc_id, "doc_id"), "m", "stratum", **risk)
+    out, kept = judge(table, cutoffs, m, stratum)
+    return out.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

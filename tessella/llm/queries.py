@@ -159,21 +159,41 @@ m AS (
 grid AS (SELECT *, loose + (tight - loose) * step / {quality.GRID - 1} AS cutoff FROM rules, range({quality.GRID}) AS s(step)),
 good AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 held AS (
-  SELECT j.lang, g.good, r.rule, CASE r.metric WHEN 'symbol_share' THEN symbol_share WHEN 'dup_line_share' THEN dup_line_share WHEN 'repeat_share' THEN repeat_share ELSE mean_word END AS v
-  FROM judged j JOIN good g USING (doc_id), rules r WHERE NOT base_failed
+  SELECT j.r, j.lang, g.good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS design, symbol_share, dup_line_share, repeat_share, mean_word FROM judged j JOIN good g USING (doc_id) WHERE NOT base_failed
+), strata AS (SELECT lang, count(*) FILTER (WHERE good AND NOT design) AS n FROM held GROUP BY lang),
+tests AS (SELECT greatest(count(*), 1) AS t FROM strata),
+pools AS (SELECT lang, n < ceil(ln({quality.DELTA} / t) / ln(1 - {quality.ALPHA})) AS pool FROM strata, tests),
+grouped AS (
+  SELECT h.* EXCLUDE (lang), p.pool, CASE WHEN NOT p.pool THEN h.lang END AS key FROM held h JOIN pools p ON h.lang IS NOT DISTINCT FROM p.lang
+), fired AS (
+  SELECT g.r, g.pool, g.key, g.good, g.design, rule, step, CASE WHEN upper THEN v > cutoff ELSE v < cutoff END AS fires
+  FROM grouped g, grid, LATERAL (SELECT CASE metric WHEN 'symbol_share' THEN symbol_share WHEN 'dup_line_share' THEN dup_line_share WHEN 'repeat_share' THEN repeat_share ELSE mean_word END AS v)
 ), counts AS (
-  SELECT h.lang, h.rule, step, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS n_bad,
-    count(*) FILTER (WHERE good AND CASE WHEN upper THEN v > cutoff ELSE v < cutoff END) AS k, count(*) FILTER (WHERE NOT good AND CASE WHEN upper THEN v > cutoff ELSE v < cutoff END) AS k_bad
-  FROM held h JOIN grid USING (rule) GROUP BY ALL
+  SELECT pool, key, rule, step, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS n_bad, count(*) FILTER (WHERE good AND fires) AS k, count(*) FILTER (WHERE NOT good AND fires) AS k_bad
+  FROM fired WHERE design GROUP BY ALL
+), levels AS (SELECT unnest(range({len(quality.LEVELS)})) AS level, unnest([{', '.join(map(str, quality.LEVELS))}]::DOUBLE[]) AS q),
+path AS (
+  SELECT pool, key, level, rule, step FROM counts, levels WHERE k_bad > 0 AND k_bad >= {quality.LEAST_GAIN}::DOUBLE * n_bad AND k <= q * n
+  QUALIFY row_number() OVER (PARTITION BY pool, key, level, rule ORDER BY k_bad / greatest(n_bad, 1) - k / greatest(n, 1) / {quality.ALPHA}::DOUBLE DESC, step) = 1
+), tried AS (
+  SELECT f.pool, f.key, p.level, f.r, any_value(f.good) AS good, any_value(f.design) AS design, bool_or(f.fires) AS fires
+  FROM fired f JOIN path p ON f.pool = p.pool AND f.key IS NOT DISTINCT FROM p.key AND f.rule = p.rule AND f.step = p.step GROUP BY ALL
+), summed AS (
+  SELECT pool, key, level, count(*) FILTER (WHERE good AND NOT design) AS n, count(*) FILTER (WHERE good AND NOT design AND fires) AS k, count(*) FILTER (WHERE good AND design) AS d_n,
+    count(*) FILTER (WHERE good AND design AND fires) AS d_k, count(*) FILTER (WHERE NOT good AND design) AS d_bad, count(*) FILTER (WHERE NOT good AND design AND fires) AS d_k_bad
+  FROM tried GROUP BY ALL
 ), tested AS (
-  SELECT *, k <= 0.0008 * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0008) + (n - i) * ln(1 - 0.0008))))
-    <= 0.05 / (5 * (SELECT greatest(count(DISTINCT coalesce('=' || lang, 'null')), 1) FROM held)) AS ok,
-    k_bad / greatest(n_bad, 1) - k / greatest(n, 1) AS gain
-  FROM counts
-), passed AS (SELECT *, min(ok::INT) OVER (PARTITION BY lang, rule ORDER BY step) AS so_far FROM tested),
-chosen AS (
-  SELECT lang, rule, cutoff FROM passed WHERE so_far = 1 AND gain > 0 QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, step) = 1
-), cuts AS (SELECT lang, {', '.join(f'max(cutoff) FILTER (WHERE rule = {i}) AS c{i}' for i in range(len(quality.RULES)))} FROM chosen GROUP BY lang)
+  SELECT *, n > 0 AND k <= {quality.ALPHA}::DOUBLE * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.ALPHA}) + (n - i) * ln(1 - {quality.ALPHA}))))
+    <= {quality.DELTA} / (SELECT t FROM tests) AS ok,
+    d_k_bad / greatest(d_bad, 1) - d_k / greatest(d_n, 1) / {quality.ALPHA}::DOUBLE AS gain
+  FROM summed
+), passed AS (SELECT *, min(ok::INT) OVER (PARTITION BY pool, key ORDER BY level) AS so_far FROM tested),
+chosen AS (SELECT pool, key, level FROM passed WHERE so_far = 1 AND gain > 0 QUALIFY row_number() OVER (PARTITION BY pool, key ORDER BY gain DESC, level) = 1),
+cuts AS (
+  SELECT l.lang, {', '.join(f'max(cutoff) FILTER (WHERE rule = {i}) AS c{i}' for i in range(len(quality.RULES)))}
+  FROM pools l JOIN chosen c ON l.pool = c.pool AND (l.pool OR l.lang IS NOT DISTINCT FROM c.key)
+  JOIN path p ON p.pool = c.pool AND p.key IS NOT DISTINCT FROM c.key AND p.level = c.level JOIN grid USING (rule, step) GROUP BY l.lang
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce({' OR '.join(f"coalesce({r.metric} {'>' if r.upper else '<'} c{i}, false)" for i, r in enumerate(quality.RULES))}, false) AS kept
 FROM judged j LEFT JOIN cuts c ON j.lang IS NOT DISTINCT FROM c.lang

@@ -306,17 +306,89 @@ def test_op9_tail_is_the_exact_binomial(spark):
         assert math.isclose(math.exp(got), exact, rel_tol=1e-9)
 
 
-def test_op9_a_certified_cutoff_rejects_labelled_junk(spark):
-    """7,400 good labels certify a cutoff of 'en' (two strata: 6,621 are needed), 40 don't one of 'es'."""
-    rows = spark.range(7780).select(
-        F.col("id").alias("doc_id"), F.when(F.col("id") < 7700, "en").otherwise("es").alias("lang"), ((F.col("id") < 7400) | (F.col("id") >= 7740)).cast("int").alias("quality"),
-        F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("word"), i.cast("string")))).alias("text"),
-    )
-    docs = rows.withColumn("text", F.when(F.col("quality") == 0, F.regexp_replace("text", "word", "#####")).otherwise(F.col("text")))
-    out = quality.quality_verdicts(docs.drop("quality"), rows.select("doc_id", "quality"))
-    assert not out.where("base_failed").count()
-    got = {(r.stratum, r.quality): (r.n, r.kept) for r in out.join(rows, "doc_id").groupBy("stratum", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert got == {("en", 1): (7400, 7400), ("en", 0): (300, 0), ("es", 1): (40, 40), ("es", 0): (40, 40)}
+def _kept(rows, labels):
+    """Verdicts by the rules of the docstring, in plain Python. rows: (id, stratum, text); labels: id to quality."""
+    metrics = {}
+    for i, s, t in rows:
+        n, chars, symbols, dup, repeat = _features(t)
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+        share = lambda a, b: a / b if b else 0.0
+        failed = n < 50 or 100 * repeat > 50 * n
+        metrics[i] = (s, failed, {"symbol_share": share(symbols, chars), "dup_line_share": share(dup, len(lines)), "repeat_share": share(repeat, n), "mean_word": share(chars, n)})
+    cut = lambda r, s: r.loose + (r.tight - r.loose) * s / (quality.GRID - 1)
+    beyond = lambda m, r, s: m[r.metric] > cut(r, s) if r.upper else m[r.metric] < cut(r, s)
+    held = [(i, *metrics[i], labels[i] > 0, hashlib.md5(str(i).encode()).hexdigest()[0] < "8") for i in metrics if i in labels and not metrics[i][1]]
+    strata = {h[1] for h in held}
+    tests, alpha = len(strata), quality.ALPHA
+    least = math.ceil(math.log(quality.DELTA / tests) / math.log(1 - alpha))
+    group = {s: s if sum(h[1] == s and h[4] and not h[5] for h in held) >= least else "pool" for s in strata}
+    chosen = {}
+    for g in set(group.values()):
+        mine = [h for h in held if group[h[1]] == g]
+        design, hold = [h for h in mine if h[5]], [h[3] for h in mine if h[4] and not h[5]]
+        good, bad = [h[3] for h in design if h[4]], [h[3] for h in design if not h[4]]
+        best = None
+        for q in quality.LEVELS:
+            path = {}
+            for r in quality.RULES:
+                options = []
+                for s in range(quality.GRID):
+                    k, k_bad = sum(beyond(m, r, s) for m in good), sum(beyond(m, r, s) for m in bad)
+                    if k_bad and k_bad >= quality.LEAST_GAIN * len(bad) and k <= q * len(good):
+                        options.append((k_bad / len(bad) - k / max(len(good), 1) / alpha, -s))
+                if options:
+                    path[r] = -max(options)[1]
+            if not path:
+                continue
+            fires = lambda m: any(beyond(m, r, s) for r, s in path.items())  # noqa: B023, E731
+            k, n = sum(map(fires, hold)), len(hold)
+            if not n or sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) > quality.DELTA / tests:
+                break
+            gain = sum(map(fires, bad)) / max(len(bad), 1) - sum(map(fires, good)) / max(len(good), 1) / alpha
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, path)
+        chosen[g] = best[1] if best else {}
+    rejects = lambda s, m: any(beyond(m, r, c) for r, c in chosen.get(group.get(s), {}).items())
+    return {i: not failed and not rejects(s, m) for i, (s, failed, m) in metrics.items()}, chosen
+
+
+def test_op9_verdicts_equal_brute_force(spark):
+    """Certified rule sets: 'en' of its own, 'de', 'fr' and null as a pool, and none in 'es', which has no labels."""
+    rnd = random.Random(11)
+    rows, labels = [], {}
+    for i in range(1300):
+        stratum = ["en", "de", "fr", None, "es"][0 if i < 700 else rnd.choice([1, 2, 3, 4])]
+        good = rnd.random() < 0.75
+        noisy = rnd.random() < (0.006 if good else 0.85)  # some good ones look bad, some bad ones don't
+        ws = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(rnd.choice([30, 60, 90, 90, 90]))]
+        ws = [w + "#*" if noisy and rnd.random() < 0.5 else w for w in ws]
+        lines = [" ".join(ws[j : j + 8]) for j in range(0, len(ws), 8)]
+        if not good and rnd.random() < 0.3:
+            lines += [lines[0]] * 4
+        rows.append((i, stratum, "\n".join(lines)))
+        if stratum != "es" and rnd.random() < 0.9:
+            labels[i] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    out = quality.quality_verdicts(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()
+    want, chosen = _kept(rows, labels)
+    assert chosen["en"] and chosen["pool"] and {r.doc_id: r.kept for r in out} == want
+    junk = [i for i, s, _ in rows if s in ("en", "de") and labels.get(i) == 0]
+    clean = [i for i, s, _ in rows if s in ("en", "de") and labels.get(i) == 1 and len(rows[i][2].split()) >= 50]
+    assert sum(not want[i] for i in junk) > 0.8 * len(junk) and sum(not want[i] for i in clean) < 0.05 * len(clean)
+    kept = quality.quality_filter(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    assert {r.doc_id for r in kept.collect()} == {i for i, k in want.items() if k}
+
+
+def test_op9_acts_on_the_given_labels():
+    """On the tables of sf0.01 a rule set is certified and rejects labelled junk that passes the base rule."""
+    path = DATA.replace("0.001", "0.01")
+    read = lambda n, c: duckdb.sql(f"select {c} from '{path}/{n}.parquet'").fetchall()
+    labels = dict(read("labels", "doc_id, quality"))
+    docs = [r for r in read("documents", "doc_id, lang, text") if r[0] in labels]
+    want, chosen = _kept(docs, labels)
+    passed = {i for i, _, t in docs if not (lambda f: f[0] < 50 or 100 * f[4] > 50 * f[0])(_features(t))}
+    assert chosen["en"] and sum(labels[i] == 0 and not want[i] for i in passed) >= 20
+    assert sum(labels[i] == 1 and not want[i] for i in passed) <= 0.05 * sum(labels[i] == 1 for i in passed)
 
 
 def _components(rows):
