@@ -374,7 +374,7 @@ def test_op9_verdicts_equal_brute_force(spark):
     assert chosen["en"] and chosen["pool"] and {r.doc_id: r.kept for r in out} == want
     junk = [i for i, s, _ in rows if s in ("en", "de") and labels.get(i) == 0]
     clean = [i for i, s, _ in rows if s in ("en", "de") and labels.get(i) == 1 and len(rows[i][2].split()) >= 50]
-    assert sum(not want[i] for i in junk) > 0.8 * len(junk) and sum(not want[i] for i in clean) < 0.05 * len(clean)
+    assert sum(not want[i] for i in junk) > 0.6 * len(junk) and sum(not want[i] for i in clean) < 0.05 * len(clean)
     kept = quality.quality_filter(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
     assert {r.doc_id for r in kept.collect()} == {i for i, k in want.items() if k}
 
