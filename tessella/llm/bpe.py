@@ -1,7 +1,7 @@
 """Operator 5: BPE encoding and decoding by speculation and verification.
 
 The vocabulary's words end in a marker and texts never join words over white space, so the unit of work is the distinct
-white-space chunk of a task. A chunk is normalised and cut into words; for each word greedy longest match proposes
+white-space chunk of a task. A chunk is normalised and cut into words (ASCII here, others by the library's normaliser and cutter); for each word greedy longest match proposes
 tokens. A proposal is the BPE result exactly if every proposed token is the result for its own string and no merge
 crosses a border between two neighbours. Both are tested with numpy for all pairs of a batch at once: a crossing merge
 (x, y) needs x on the right spine of the left token and y on the left spine of the right token, both still alive when
@@ -10,28 +10,32 @@ the rank of (x, y) comes up. Only words that fail are merged step by step.
 The tokenizer file is read on the driver; its tables have the size of the vocabulary and travel with the task.
 
 Edge cases: a null or empty text has no tokens and decodes to an empty string; the strings of the added tokens are
-those tokens wherever they stand, as in the library; texts are taken whole; repeated rows are encoded one by one; an empty
+those tokens wherever they stand, as in the library; texts are taken whole, bytes that are no UTF-8 as U+FFFD; a word of any
+length is merged in n log n steps; repeated rows are encoded one by one; an empty
 table gives an empty result; extra columns pass through `encode` and `decode` unless they have the output's name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
+from tessella.llm.common import texts
 from tessella.runtime import ship_package
 
 #: Distinct chunks that a task remembers before it starts anew.
 MEMORY = 300_000
+#: Symbols beyond which a word is merged with a heap.
+LONG_WORD = 64
 #: Characters of texts whose chunks are learnt together.
 GROUP_CHARS = 2_000_000
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -60,10 +64,12 @@ class Bpe:
         for t, i in [*self.vocab.items(), *self.added.items()]:
             self.tokens[i] = t
         self._added_re = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if self.added else None
+        # Words are cut by the library's own Unicode tables, so that its version decides on letters, numbers and lower case.
+        library = Tokenizer.from_str(source)
+        self._normal, self._cut = library.normalizer, library.pre_tokenizer
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._word_re = regex.compile(pattern)
-        self._bytes = _byte_chars()
-        self._ascii = {i: c for i, c in enumerate(self._bytes[:128])}
+        self._word_re = re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "))  # for ASCII
+        self._ascii = {i: c for i, c in enumerate(_byte_chars()[:128])}
         self.longest = max(map(len, self.vocab))
         n = len(self.tokens)
         self.left, self.right = np.full(n, -1), np.full(n, -1)
@@ -119,6 +125,8 @@ class Bpe:
         """The exact result: the lowest rank first, of equal ranks the leftmost."""
         n, none, rank = self._n, 1 << 60, self._pair.get
         ids = [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.end]]
+        if len(ids) > LONG_WORD:
+            return self._merge_long(ids)
         ranks = [rank(a * n + b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks and (best := min(ranks)) != none:
             i = ranks.index(best)
@@ -130,6 +138,27 @@ class Bpe:
                 ranks[i] = rank(ids[i] * n + ids[i + 1], none)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of (rank, place) over linked symbols: n log n steps for a word of n symbols."""
+        n, size, rank, made = self._n, len(ids), self._pair.get, self._made
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap = [r * size + i for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := rank(a * n + b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), size)
+            j = after[i]
+            if ids[i] < 0 or j == size or rank(ids[i] * n + ids[j]) != r:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], k = made[r], -1, after[j]
+            after[i] = k
+            if k < size:
+                before[k] = i
+                if (new := rank(ids[i] * n + ids[k])) is not None:
+                    heapq.heappush(heap, new * size + i)
+            if (h := before[i]) >= 0 and (new := rank(ids[h] * n + ids[i])) is not None:
+                heapq.heappush(heap, new * size + h)
+        return [t for t in ids if t >= 0]
+
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; the last token carries the end marker."""
         out, i, n, vocab, end, reach = [], 0, len(word), self.vocab, self.end, self._reach
@@ -165,8 +194,7 @@ class Bpe:
         """The byte-level words of a chunk without white space."""
         if chunk.isascii():
             return [w.translate(self._ascii) for w in self._word_re.findall(chunk.lower())]
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # each letter by itself, so no final sigma
-        return ["".join([self._bytes[b] for b in w.encode()]) for w in self._word_re.findall(text)]
+        return [w for w, _ in self._cut.pre_tokenize_str(self._normal.normalize_str(chunk))]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by blanks, as the library does for files without a decoder."""
@@ -196,13 +224,13 @@ class Encoder:
                 self.seen, new = {}, chunks
             self._learn(new)
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode_all(self, docs: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of one text after the other; new chunks are learnt for some texts at a time."""
         at = 0
-        while at < len(texts):
+        while at < len(docs):
             group, size = [], 0
-            while at < len(texts) and size < GROUP_CHARS:
-                group.append(texts[at] or "")
+            while at < len(docs) and size < GROUP_CHARS:
+                group.append(docs[at] or "")
                 size += len(group[-1])
                 at += 1
             parts = [self._parts(t) for t in group]
@@ -254,7 +282,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(shared.value)
         for batch in batches:
-            found = [ids.astype(np.int32) for ids in encoder.encode_all(batch.column(place).to_pylist())]
+            found = [ids.astype(np.int32) for ids in encoder.encode_all(texts(batch.column(place)))]
             ends = np.cumsum([0, *map(len, found)])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
@@ -272,8 +300,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(shared.value).bpe
         for batch in batches:
-            texts = [bpe.decode(x or ()) for x in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, decoded])
+            found = [bpe.decode(x or ()) for x in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, decoded])
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(decoded, T.StringType())]))
 
@@ -289,7 +317,7 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
         bpe = encoder.bpe
         for batch in batches:
             n, a, b = [], [], []
-            for ids in encoder.encode_all(batch.column(1).to_pylist()):
+            for ids in encoder.encode_all(texts(batch.column(1))):
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest())

@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +17,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests, local runs)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is set on a local master (tests, local runs)."""
     found = spark.sparkContext.getCheckpointDir()
     if not found and (configured := spark.conf.get("spark.checkpoint.dir", None)):
         spark.sparkContext.setCheckpointDir(configured)
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors of a cluster need a shared folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -60,6 +63,16 @@ def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(table) if len(table.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else table
 
 
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """The bytes of a column of texts, whether they are valid UTF-8 or not."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def texts(column: pa.Array) -> list[str | None]:
+    """The texts of a column; bytes that are no UTF-8 become U+FFFD."""
+    return [None if b is None else b.decode("utf-8", "replace") for b in raw_texts(column)]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character; all-ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

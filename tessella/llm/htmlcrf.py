@@ -7,12 +7,13 @@ and each step by a transition weight; Viterbi decodes the page. The weights are
 deterministic, takes about a second and runs on the driver; the weights (a few hundred numbers) travel with the task.
 
 Edge cases: null or empty html gives an empty text; pages without article blocks give an empty text; unclosed and stray tags
-are tolerated; contents of script, style and the like are no text; very long pages are decoded whole; repeated rows
+are tolerated, at any depth of nesting; bytes that are no UTF-8 become U+FFFD; contents of script, style and the like are no text; very long pages are decoded whole; repeated rows
 are extracted one by one; an empty table gives an empty result; extra columns take no part.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import html as html_entities
 import random
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessella.llm.common import texts
 from tessella.runtime import ship_package
 
 # HTML elements by their role in layout.
@@ -41,11 +43,30 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Open:
+    """An open tag: it points to its parent and holds what its whole path shows, so that a page's memory grows with its tags."""
+
+    __slots__ = ("tag", "names", "parent", "marks")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Open | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.marks = _marks(names) | (parent.marks if parent else 0)
+
+
 class Block:
-    __slots__ = ("text", "linked", "path")
+    __slots__ = ("text", "linked", "place")
+
+    def __init__(self, text: str, linked: int, place: Open | None):
+        self.text, self.linked, self.place = text, linked, place
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...]):
-        self.text, self.linked, self.path = text, linked, path
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tags and names of the open ancestors, outermost first."""
+        names, at = [], self.place
+        while at:
+            names.append(at.names)
+            at = at.parent
+        return tuple(n for ns in reversed(names) for n in ns)
 
 
 def _names(tag: str, attrs: str) -> tuple[str, ...]:
@@ -61,7 +82,8 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
 def leaf_blocks(page: str) -> list[Block]:
     """The page's blocks in order, white space folded, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    is_open: collections.Counter[str] = collections.Counter()
     parts: list[str] = []
     linked, links, hidden, pos = 0, 0, 0, 0
 
@@ -70,7 +92,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, linked, tuple(n for _, names in stack for n in names)))
+                out.append(Block(text, linked, stack[-1] if stack else None))
             parts.clear()
         linked = 0
 
@@ -83,17 +105,18 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def close(upto: int) -> None:
         nonlocal links, hidden
-        for tag, _ in stack[upto:]:
-            links -= tag == "a"
-            hidden -= tag in HIDDEN
+        for o in stack[upto:]:
+            links -= o.tag == "a"
+            hidden -= o.tag in HIDDEN
+            is_open[o.tag] -= 1
         del stack[upto:]
 
     def end_head() -> None:
         """Close a head that is the innermost open tag but for titles that nothing ends: </head> may be left out."""
         at = len(stack)
-        while at and stack[at - 1][0] in ("head", "title"):
+        while at and stack[at - 1].tag in ("head", "title"):
             at -= 1
-        at = next((i for i in range(at, len(stack)) if stack[i][0] == "head"), -1)
+        at = next((i for i in range(at, len(stack)) if stack[i].tag == "head"), -1)
         if at >= 0:
             close(at)
 
@@ -101,7 +124,7 @@ def leaf_blocks(page: str) -> list[Block]:
     while pos < n:
         m = _TAG.search(page, pos)
         upto = m.start() if m else n
-        if hidden and stack[-1][0] == "head" and page[pos:upto].strip():
+        if hidden and stack[-1].tag == "head" and page[pos:upto].strip():
             end_head()
         if upto > pos and not hidden:
             add(page[pos:upto])
@@ -112,11 +135,11 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1) if is_open[tag] else -1
             if tag in BLOCK:
                 flush()
             if at >= 0:
-                if any(t in BLOCK for t, _ in stack[at:]):
+                if any(o.tag in BLOCK for o in stack[at:]):
                     flush()
                 close(at)
             continue
@@ -127,25 +150,25 @@ def leaf_blocks(page: str) -> list[Block]:
         elif tag == "br":
             parts.append(" ")
         for i in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-            if stack[i][0] in CLOSES[tag]:
+            if stack[i].tag in CLOSES[tag]:
                 close(i)
                 break
-            if stack[i][0] in BLOCK and stack[i][0] not in ("p",):
+            if stack[i].tag in BLOCK and stack[i].tag != "p":
                 break
         if tag in VOID or m[0].endswith("/>"):
             continue
-        in_head = bool(stack) and stack[-1][0] == "head"
+        in_head = bool(stack) and stack[-1].tag == "head"
         if in_head and tag in ("script", "style", "title", "noscript"):
             end = re.compile(rf"</({tag}|head)\s*>", re.I).search(page, pos)  # tags in their content don't end the head
             if end and end[1].lower() == tag:
                 pos = end.end()
                 continue
-        elif tag in ("script", "style", "textarea", "title", "noscript") and not hidden:
+        elif tag in ("script", "style", "title", "noscript") and not hidden:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)  # their content is not markup
-            if tag != "textarea":
-                pos = end.end() if end else n
-                continue
-        stack.append((tag, _names(tag, m[3] or "")))
+            pos = end.end() if end else n
+            continue
+        stack.append(Open(tag, _names(tag, m[3] or ""), stack[-1] if stack else None))
+        is_open[tag] += 1
         links += tag == "a"
         hidden += tag in HIDDEN
     flush()
@@ -175,11 +198,15 @@ _BAD = frozenset(("menu", "foot", "side", "note", "ad", "comments", "form"))
 _BAD_TAGS = frozenset(("nav", "footer", "aside", "form", "button", "select", "fieldset", "label", "dialog"))
 
 
+#: Bits above the features': the path holds an article's name, or one that articles don't have.
+_GOOD, _ILL = 1 << len(_FEATURES), 2 << len(_FEATURES)
+
+
 @functools.lru_cache(1 << 14)
-def _path_features(path: tuple[str, ...]) -> tuple[int, ...]:
-    found = set()
-    good = bad = False
-    for name in path:
+def _marks(names: tuple[str, ...]) -> int:
+    """The path features that a tag and its names give, as bits."""
+    found, good, bad = set(), False, False
+    for name in names:
         if name[0] == ".":
             hint = _HINT.get(name[1:])
             if hint:
@@ -193,9 +220,14 @@ def _path_features(path: tuple[str, ...]) -> tuple[int, ...]:
                 found.add(_FEATURES[f"<{name}"])
             good |= name in ("article", "main")
             bad |= name in _BAD_TAGS
-    if good and bad:
-        found.add(_FEATURES["article+bad"])
-    return tuple(sorted(found))
+    return sum(1 << f for f in found) | _GOOD * good | _ILL * bad
+
+
+@functools.lru_cache(1 << 14)
+def _path_features(marks: int) -> tuple[int, ...]:
+    if marks & _GOOD and marks & _ILL:
+        marks |= 1 << _FEATURES["article+bad"]
+    return tuple(i for i in range(len(_FEATURES)) if marks >> i & 1)
 
 
 def features(blocks: list[Block]) -> list[list[int]]:
@@ -203,7 +235,7 @@ def features(blocks: list[Block]) -> list[list[int]]:
     out = []
     for i, b in enumerate(blocks):
         n = len(b.text)
-        f = [0, *_path_features(b.path)]
+        f = [0, *_path_features(b.place.marks if b.place else 0)]
         f.append(_FEATURES["linked:0" if not b.linked else "linked:some" if 2 * b.linked < n else "linked:most"])
         f.append(_FEATURES[f"long:{0 if n < 15 else 1 if n < 40 else 2 if n < 100 else 3 if n < 300 else 4}"])
         if b.text[-1] in ".!?…":
@@ -402,8 +434,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, crf) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found = [main_text(h, crf) for h in texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = lambda c: base.schema[c].dataType.simpleString()
     return base.mapInArrow(run, f"page_id {kind('page_id')}, url {kind('url')}, text string, n_chars long")

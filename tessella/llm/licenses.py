@@ -13,7 +13,7 @@ tests each rolling hash against the set of template hashes (a broadcast semi-joi
 
 Edge cases: a null or empty text has no words; texts are taken whole; repeated rows are scanned one by one (each row gets
 its own number in the written scan); ties between labels all count; an empty table gives an empty result; extra columns
-take no part.
+take no part; words are bytes, so texts need be no valid UTF-8.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import write_table
+from tessella.llm.common import raw_texts, write_table
 from tessella.runtime import ship_package
 
 # Phrases that name a license.
@@ -69,9 +69,9 @@ _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def license_words(text: str) -> list[bytes]:
+def license_words(text: bytes) -> list[bytes]:
     """ASCII letters (lower-cased), digits and all non-ASCII characters make words."""
-    return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
+    return text.translate(_TO_WORDS).split()
 
 
 def _rolling(ids: np.ndarray, k: int) -> np.ndarray:
@@ -91,11 +91,11 @@ def template_rows() -> tuple[list[tuple], dict[bytes, int]]:
     texts = [(p, label, True, True) for p, label in PHRASES] + [(t, label, False, False) for label, t in TEXTS] + [(t, label, False, True) for t, label in NOTICES]
     number: dict[bytes, int] = {}
     for t, *_ in texts:
-        for w in license_words(t):
+        for w in license_words(t.encode()):
             number.setdefault(w, len(number) + 1)
     rows = []
     for i, (t, label, phrase, whole) in enumerate(texts):
-        ws, k = license_words(t), PHRASE_K if whole else TEXT_K
+        ws, k = license_words(t.encode()), PHRASE_K if whole else TEXT_K
         for j, h in enumerate(_rolling(np.array([number[w] for w in ws]), k).tolist()):
             rows.append((i, label, phrase, whole, len(ws), k, h, j, b" ".join(ws[j : j + k]).decode()))
     return rows, number
@@ -116,8 +116,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, sizes, grams = [], [], []
-            for t in batch.column(1).to_pylist():
-                ws = license_words(t or "")
+            for t in raw_texts(batch.column(1)):
+                ws = license_words(t or b"")
                 word = np.fromiter((number.get(w, 0) for w in ws), np.int64, len(ws))
                 found = []
                 for k, hashes in wanted.items():

@@ -15,7 +15,7 @@ With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with probabil
 Edge cases: a text of fewer words than a shingle is one shingle of all its words; null, empty and blank texts have no
 shingles and link with nothing; rows that share an id are one document: its texts' links are all its own; rows with a null
 id take no part, have no component and are kept; repeated rows are in one class; an empty table gives an empty
-result; extra columns take no part.
+result; extra columns take no part; words are bytes, so texts need be no valid UTF-8.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checked_broadcast, write_table
+from tessella.llm.common import checked_broadcast, raw_texts, write_table
 from tessella.llm.components import components
 from tessella.runtime import ship_package
 
@@ -50,9 +50,9 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
     if len(_words) > 200_000:
@@ -131,7 +131,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fp, sig = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in raw_texts(batch.column(1)):
                 s = shingle_set(t)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -181,7 +181,7 @@ def _full_sets(ids: DataFrame, docs: DataFrame, fps: DataFrame, doc_id: str, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets = [], []
-            for i, t, fp in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for i, t, fp in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 s = shingle_set(t).tobytes()
                 if xxhash.xxh3_128_digest(s) == fp:  # rows that share the id may have other texts
                     ids.append(i)

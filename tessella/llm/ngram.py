@@ -19,7 +19,7 @@ The tables are read again rather than recomputed if an executor is lost.
 
 Edge cases: a null or empty text is the end token alone; a null id is text '' for the split; a corpus without training
 documents gives every token probability one in the base model and p_1 = 1; very long texts make large blocks of their own;
-repeated rows count and are scored one by one; an empty table gives an empty result; extra columns take no part.
+repeated rows count and are scored one by one; an empty table gives an empty result; extra columns take no part; words are bytes, so texts need be no valid UTF-8.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import scratch, write_table
+from tessella.llm.common import raw_texts, scratch, write_table
 from tessella.llm.eliasfano import NONE, Trie, dequantise
 from tessella.runtime import ship_package
 
@@ -124,8 +124,8 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             if arrow is None:
                 kind = batch.schema.field(0).type
                 arrow = pa.schema([("block", pa.int64()), ("ids", pa.list_(kind)), ("sizes", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("words", pa.binary()), ("counts", pa.binary()), ("body", pa.binary()), ("trained", pa.int64())])
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            for i, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                words = (t or b"").lower().split()  # bytes: A-Z and ASCII white space only
                 ids.append(i)
                 held.append(held_out(i))
                 sizes.append(len(words) + 1)

@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -167,15 +168,52 @@ def test_op5(docs, odd, empty):
         for r in rows:
             ids = lib.encode(r.text or "", add_special_tokens=False).ids
             assert r.ids == ids and r.decoded == lib.decode(ids, skip_special_tokens=False)
-        for r, d in zip(sorted(rows, key=str), sorted(bpe.digests(df, path).join(df.select("doc_id").distinct(), "doc_id", "left").collect(), key=str), strict=True):
-            pass
-    d = {r.doc_id: r for r in bpe.digests(docs, path).collect()}
-    r = docs.first()
-    ids = np.array(lib.encode(r.text, add_special_tokens=False).ids, "<u4")
-    assert d[r.doc_id].n_tokens == len(ids) and d[r.doc_id].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+        want = []
+        for r in df.select("doc_id", "text").collect():
+            ids = lib.encode(r.text or "", add_special_tokens=False).ids
+            text = lib.decode(ids, skip_special_tokens=False)
+            want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        assert sorted(map(tuple, bpe.digests(df, path).collect()), key=str) == sorted(want, key=str)
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_op5_long_words():
+    """One word of a million letters; a word is merged in n log n steps, and equals the library's."""
+    from tokenizers import Tokenizer
+
+    path, rnd = llm.tokenizer_path(), random.Random(8)
+    lib, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.Bpe(bpe.read_tokenizer(path)))
+    for n, letters in ((1_000_000, "etaoinshrdlu"), (5000, "a"), (5000, "ab"), (3000, "éèa"), (65, "xyz"), (64, "the")):
+        word = "".join(rnd.choice(letters) for _ in range(n))
+        began = time.perf_counter()
+        got = encoder.encode(word).tolist()
+        assert time.perf_counter() - began < 60 and got == lib.encode(word, add_special_tokens=False).ids
+
+
+def test_op5_every_code_point():
+    """Letters, numbers, spaces, lower case and normal forms are those of the library."""
+    from tokenizers import Tokenizer
+
+    path = llm.tokenizer_path()
+    lib, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.Bpe(bpe.read_tokenizer(path)))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}a{c}\u0301 1{c}" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_texts_that_are_no_utf8(spark):
+    """Every reader of texts takes any bytes: words are bytes, and where characters count bad ones are U+FFFD."""
+    from tokenizers import Tokenizer
+
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62206DC3206D697420') || cast('License MIT license' AS binary) AS string) AS text")
+    ids = Tokenizer.from_file(llm.tokenizer_path()).encode(b"a\xffb m\xc3 mit License MIT license".decode("utf-8", "replace"), add_special_tokens=False).ids
+    assert bpe.encode(df, llm.tokenizer_path()).first().ids == ids
+    assert ngram.score(df).first().n_tokens == 7 and neardup.near_duplicates(df).first().n_shingles == 2
+    assert licenses.license_digest(df).first().n_base == 2
+    page = df.selectExpr("1 AS page_id", "'u' AS url", "'<article><p>' || text AS html")
+    assert htmlcrf.extract(page).first().text.startswith("a\ufffdb m\ufffd mit")
+
+
 def test_op5_compatibility_equals_merging():
     b, rnd = bpe.Bpe(bpe.read_tokenizer(llm.tokenizer_path())), random.Random(3)
     words = ["".join(rnd.choice("abcdeinorst"[: rnd.randint(2, 11)]) for _ in range(rnd.randint(1, 24))) for _ in range(5000)]
@@ -196,6 +234,23 @@ def test_op6(spark):
     assert covertree.top_k(df.where("false")).count() == 0
 
 
+def test_op6_long_components(spark, monkeypatch):
+    """Components beyond 32 bits are exact; scores beyond 64 bits are the nearest 64-bit integer. Small blocks make many pairs."""
+    monkeypatch.setattr(covertree, "DATA_BLOCK", 40)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 7)
+    rnd = np.random.default_rng(6)
+    for top in (1e9, 1e5, 3e38, 0.5):
+        rows = [(i, (rnd.normal(size=5) * (top if i % 3 else 1.0)).clip(-3.4e38, 3.4e38).astype(np.float32).astype(float).tolist()) for i in range(300)]
+        good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+        want = []
+        for q, v in good[::20]:
+            score = lambda w: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w, strict=True))))  # noqa: B023, E731
+            best = sorted((-score(w), i) for i, w in good if i != q)[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        assert sorted(map(tuple, covertree.top_k(df).collect())) == sorted(want), top
+
+
 def test_op7(odd, docs, empty):
     phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
     for df in (docs, odd):
@@ -269,6 +324,16 @@ def test_op8_text_ends_a_head():
     assert [b.text for b in htmlcrf.leaf_blocks("<head><title>x</title>\n text<p>more")] == ["text", "more"]
 
 
+def test_op8_deep_nesting():
+    """Memory and time grow with a page's tags, not with their square."""
+    began = time.perf_counter()
+    blocks = htmlcrf.leaf_blocks("<div class='content'>" * 60_000 + "<p>deep text</p>" + "</b>" * 20_000 + "<p>more")
+    assert time.perf_counter() - began < 10
+    assert [b.text for b in blocks] == ["deep text", "more"] and len(blocks[0].path) == 120_001
+    shallow = htmlcrf.leaf_blocks("<div class='content'><p>deep text</p></div>")
+    assert htmlcrf.features(blocks)[0][:4] == htmlcrf.features(shallow)[0][:4]
+
+
 def test_op8_page_without_head_end(spark):
     page = "<html><head><title>x</title><body><nav><a href='/'>home</a></nav><article><h1>A title</h1><p>This is the text of the page, and it goes on for some time.</p></article></body></html>"
     pages = spark.createDataFrame([(1, "u", page), (2, "u", page.replace("<body>", "</head><body>"))], "page_id long, url string, html string")
