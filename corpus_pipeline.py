@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, linededup, mixing, neardup, quality
 from tessella.llm.common import scratch
@@ -35,22 +34,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.training_order(docs)
 
 
-def file_position() -> Column:
-    """A number that grows along a table written in order, whichever way its files are dealt when it is read.
-
-    Spark numbers the parts of a range-sorted table in range order, and a part's further files too: the part is above
-    bit 43, the file above bit 32, the row in the file below.
-    """
-    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("bigint")
-    return F.shiftleft(number(r"^part-(\d+)"), 43) + F.shiftleft(number(r"-c(\d+)\."), 32) + F.col("_metadata.row_index")
-
-
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, position, n_tokens, ids; position gives the training order, the rows come in any.
 
     docs is the mixing stage's table as read from its files: their names and row numbers hold the order.
     """
-    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text", file_position().alias("position")), tokenizer_path())
+    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text", mixing.file_position().alias("position")), tokenizer_path())
     return tokens.selectExpr("doc_id", "lang", "source", "position", "cast(size(ids) as bigint) as n_tokens", "ids")
 
 

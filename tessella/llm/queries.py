@@ -24,8 +24,7 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    first = F.round(F.array_min(F.transform("copies", lambda c: c["position"])), 6)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+    return mixing.ranked(mixed).select("doc_id", "size", "source_size", "target", "taken", F.round("first_position", 6).alias("first_position"), "first_rank")
 
 
 def replica(pages: DataFrame) -> DataFrame:
@@ -82,7 +81,7 @@ _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _OP2 = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-7') AS h FROM documents
+  SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce('s' || CAST(doc_id AS VARCHAR), 'n') || '-7-' || coalesce('s' || source, 'n') || '-' || md5(coalesce(text, ''))) AS h FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source
 ), ranked AS (
@@ -94,7 +93,7 @@ WITH sized AS (
 targets AS (
   SELECT source, source_size, CAST(schedule AS INTEGER) AS schedule, CASE WHEN cap / w < level THEN cap ELSE water * w END AS target FROM leveled, water
 ), laid AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, t.schedule, CAST(round(t.target) AS BIGINT) AS goal,
+  SELECT s.doc_id, s.size, s.h, t.source_size, t.target, t.schedule, CAST(round(t.target) AS BIGINT) AS goal,
     CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS BIGINT) AS x
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), copies AS (
@@ -110,7 +109,9 @@ targets AS (
       ELSE 0.5 + 2 * (share - 0.375) / (sqrt(1 + 2 * (share - 0.375)) + 1) END END AS position
   FROM copies
 )
-SELECT doc_id, size, source_size, target, CAST(list_sum(takes) AS BIGINT) AS taken, CASE WHEN takes[1] > 0 THEN round(least(position, 1.0), 6) END AS first_position FROM placed
+SELECT doc_id, size, source_size, target, CAST(list_sum(takes) AS BIGINT) AS taken, CASE WHEN takes[1] > 0 THEN round(least(position, 1.0), 6) END AS first_position,
+  CASE WHEN takes[1] > 0 THEN row_number() OVER (PARTITION BY takes[1] > 0 ORDER BY least(position, 1.0), h) END AS first_rank
+FROM placed
 """
 
 _RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)"
