@@ -1,21 +1,23 @@
 """Operator 3: Merkle fixity audit of WARC replicas.
 
 A page is one WARC record; records are laid out by page id, so a range of ids is a range of offsets. A leaf hashes the
-records of one id; 2**bits neighbouring nodes make a parent, whose hash covers its children's hashes in order together
-with the range's record count and bytes. Each level is a small written table. The audit compares the roots, then
-descends: at each level only the children of mismatching nodes are joined and compared, down to single records.
-
-Every step hash-partitions by node number, so nothing grows beyond 2**bits children in one group, whatever the input.
-
-Edge cases: null url or html count as empty; records with a null id have no place in the layout, they are spread over
-negative node numbers by their hash and are audited like the others; records that share an id are one leaf, hashed as the
-sorted list of distinct (hash, count); equal rows therefore only change a count; empty replicas have no root and all
-records of the other side are reported; extra columns take no part.
+records of one id; 2**bits neighbouring nodes make a parent, whose hash covers, in order, its children's numbers, hashes, record
+counts and bytes: the offsets of the children inside the range follow from these. Each level is a written table, at most
+as large as the one below (with sparse ids levels shrink late). The audit compares the roots, then descends: at each
+level only the children of mismatching nodes are joined and compared, down to single records.
+
+Every step hash-partitions by node number, so nothing grows beyond 2**bits children in one group, whatever the input; the records of
+one id are combined by sums of hash parts, which are added up before they are shuffled.
+
+Edge cases: null url or html count as empty; records with a null id have no place in the layout: they are audited under
+node numbers of a reserved range (RESERVED and below, by a 40-bit hash) and reported without id, file and offset; records that
+share an id are one leaf, hashed as the multiset of their (hash, count); equal rows therefore only change a count; empty replicas
+have no root and all records of the other side are reported; extra columns take no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import write_table
@@ -23,6 +25,8 @@ from tessella.llm.common import write_table
 BITS = 4
 #: Ids of one WARC file: a file holds 2**10 of them, offsets restart with it.
 FILE_BITS = 10
+#: Nodes of records without an id are at most this number and more than this number less 2**40.
+RESERVED = -(1 << 50)
 
 
 def warc_record(url: Column, body: Column) -> Column:
@@ -36,19 +40,19 @@ def leaves(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """node (the id), hash, n_records, n_bytes: one row per id."""
     record = warc_record(F.col(url).cast("string"), F.col(html).cast("string"))
     df = pages.select(F.col(page_id).cast("long").alias("id"), F.sha2(record.cast("binary"), 256).alias("digest"), F.octet_length(record).cast("long").alias("bytes"))
-    nowhere = -F.pmod(F.xxhash64("digest"), F.lit(1 << 40)) - (1 << 50)
+    nowhere = F.lit(RESERVED) - F.pmod(F.xxhash64("digest"), F.lit(1 << 40))
     df = df.groupBy(F.coalesce("id", nowhere).alias("node"), "digest", "bytes").agg(F.count(F.lit(1)).alias("n"))
-    return df.groupBy("node").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "digest", F.col("n").cast("string")))), "|").cast("binary"), 256).alias("hash"),
-        F.sum("n").alias("n_records"), F.sum(F.col("n") * F.col("bytes")).alias("n_bytes"),
-    )
+    one = F.sha2(F.concat_ws(":", "digest", F.col("n").cast("string")).cast("binary"), 256)
+    part = lambda i: F.conv(F.substring(one, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    df = df.groupBy("node").agg(*[F.sum(part(i)).alias(f"p{i}") for i in range(4)], F.sum("n").alias("n_records"), F.sum(F.col("n") * F.col("bytes")).alias("n_bytes"))
+    return df.select("node", F.sha2(F.concat_ws(":", *[F.col(f"p{i}").cast("string") for i in range(4)]).cast("binary"), 256).alias("hash"), "n_records", "n_bytes")
 
 
 def parents(level: DataFrame, bits: int = BITS) -> DataFrame:
     """The level above: hashes of ordered ranges of 2**bits nodes."""
     return level.groupBy(F.shiftright("node", bits).alias("node")).agg(
         F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: F.concat_ws("=", c["node"].cast("string"), c["hash"])), "|").cast("binary"), 256
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash", "n_records", "n_bytes"))), lambda c: F.concat_ws("=", *[c[x].cast("string") for x in ("node", "hash", "n_records", "n_bytes")])), "|").cast("binary"), 256
         ).alias("hash"),
         F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"),
     )
@@ -95,13 +99,10 @@ def locate(pages: DataFrame, replica: DataFrame, bits: int = BITS, page_id: str
     differ, _ = audit(left, right, bits)
     kind = F.when(F.col("left_hash").isNull(), "extra").when(F.col("right_hash").isNull(), "missing").otherwise("changed")
     wrong = differ.select("node", kind.alias("kind"))
-    # Offsets need the sizes of the files that hold a wrong record only, each of a bounded number of ids.
-    files = wrong.select(F.shiftright("node", FILE_BITS).alias("file_no")).distinct()
-    sizes = left[0].select("node", "n_bytes", F.shiftright("node", FILE_BITS).alias("file_no")).join(files, "file_no", "left_semi")
-    at = wrong.withColumn("file_no", F.shiftright("node", FILE_BITS)).join(
-        sizes.select("file_no", F.col("node").alias("other"), F.col("n_bytes").alias("other_bytes")), "file_no", "left"
-    )
-    before = F.sum(F.when(F.col("other") < F.col("node"), F.col("other_bytes")).otherwise(0))
-    own = F.max(F.when(F.col("other") == F.col("node"), F.col("other_bytes")))
-    out = at.groupBy("node", "kind", "file_no").agg(before.alias("file_offset"), F.coalesce(own, F.lit(0)).alias("n_bytes"))
-    return out.select(F.col("node").alias("page_id"), "kind", "file_no", F.col("file_offset").cast("long").alias("file_offset"), F.col("n_bytes").cast("long").alias("n_bytes"))
+    # Offsets are prefix sums over the files that hold a wrong record, each of a bounded number of ids.
+    wrong = wrong.withColumn("file_no", F.shiftright("node", FILE_BITS))
+    sizes = left[0].select("node", "n_bytes", F.shiftright("node", FILE_BITS).alias("file_no")).join(wrong.select("file_no").distinct(), "file_no", "left_semi")
+    laid = sizes.join(wrong.select("file_no", "node", "kind"), ["file_no", "node"], "full").withColumn("n_bytes", F.coalesce("n_bytes", F.lit(0)))
+    laid = laid.withColumn("file_offset", F.sum("n_bytes").over(Window.partitionBy("file_no").orderBy("node")) - F.col("n_bytes")).where("kind IS NOT NULL")
+    placed = lambda c: F.when(~F.col("node").between(RESERVED - (1 << 40) + 1, RESERVED), F.col(c).cast("long"))
+    return laid.select(placed("node").alias("page_id"), "kind", placed("file_no").alias("file_no"), placed("file_offset").alias("file_offset"), F.col("n_bytes").cast("long").alias("n_bytes"))
