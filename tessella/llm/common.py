@@ -30,9 +30,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every table that operators of this process have written; frames they returned can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = [path(p) for p in _made]
+    _made.clear()
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True) for p in gone)
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -57,6 +69,21 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, codec: str = "zstd", ordered: bool = True) -> DataFrame:
+    """df as a table of buckets by key, sorted by it: joins and groups by key read it without a shuffle.
+
+    The catalogue needs a name for it while it is made only; frames keep the layout they were resolved with.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    out = df.write.bucketBy(buckets, key)
+    with freeing_shuffles(spark):
+        (out.sortBy(key) if ordered else out).option("compression", codec).option("path", scratch(spark, name)).saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast only if the table has at most max_rows rows; beyond that the join shuffles (AQE splits hot keys)."""
     table = write_table(df, "side")

@@ -3,8 +3,8 @@
 A key is a line without its outer white space, A-Z lower-cased; keys of fewer code points than `min_chars` never count.
 Documents come in batches (by a hash of the id). A run is a table of key hashes, bucketed and sorted by hash, in which
 each key stands once with the number of its documents and the largest id among them; no key stands in two runs. A new
-batch merge-anti-joins its keys with every run: keys no run has become its own run, the others go to a log of
-repeats. When `fanout` runs of a level exist they are compacted into one run of the next level, so a batch meets few
+batch is bucketed and sorted alike and merges with every run without a shuffle, in one left join each: keys that no run has (the
+anti-join) become its own run, the others go to a log of repeats. When `fanout` runs of a level exist they are compacted into one run of the next level, so a batch meets few
 runs. At the end a key's documents are its run's count plus its repeats; a key in at least `min_docs` documents loses its
 lines everywhere but in the largest id that holds it.
 
@@ -18,12 +18,13 @@ document all stay; an empty table gives an empty result; extra columns pass thro
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WS, ascii_lower, checked_broadcast, freeing_shuffles, fresh_name, scratch, write_table
+from tessella.llm.common import WS, ascii_lower, bucketed, checked_broadcast, fresh_name, write_table
 
 
 def line_key(line: Column) -> Column:
@@ -40,24 +41,20 @@ class Runs:
         self.repeats: list[DataFrame] = []
 
     def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        rows = rows.repartition(self.buckets, "h")
-        with freeing_shuffles(self.spark):
-            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", scratch(self.spark, "run")).saveAsTable(name)
-        return self.spark.table(name)
+        return bucketed(rows, "line_run", "h", self.buckets)
 
     def all(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def add(self, batch: DataFrame) -> None:
         """batch: h, n_docs, top_doc with each h once."""
-        batch = write_table(batch, "batch")
-        fresh = batch
-        for run in self.all():
-            fresh = fresh.join(run.select("h").hint("merge"), "h", "left_anti")
-        known = [batch.join(run.select("h").hint("merge"), "h", "left_semi") for run in self.all()]
-        self.repeats += [write_table(k, "repeats") for k in known]
-        level, run = 0, self._write(fresh)
+        met, runs = self._write(batch.repartition(self.buckets, "h")), self.all()
+        for i, run in enumerate(runs):  # a key stands in one run at most
+            met = met.join(run.select("h", F.lit(True).alias(f"in_{i}")).hint("merge"), "h", "left")
+        known = reduce(or_, [F.col(f"in_{i}").isNotNull() for i in range(len(runs))], F.lit(False))
+        if runs:
+            self.repeats.append(write_table(met.where(known).select("h", "n_docs", "top_doc"), "repeats"))
+        level, run = 0, self._write(met.where(~known).select("h", "n_docs", "top_doc"))
         while True:
             if len(self.levels) <= level:
                 self.levels.append([])
@@ -67,7 +64,7 @@ class Runs:
             merged, rest = self.levels[level][0], self.levels[level][1:]
             for r in rest:
                 merged = merged.unionByName(r)
-            self.levels[level], run, level = [], self._write(merged), level + 1
+            self.levels[level], run, level = [], self._write(merged.repartition(self.buckets, "h")), level + 1
 
     def totals(self, min_docs: int) -> DataFrame:
         """h, top_doc of the keys in at least min_docs documents."""
