@@ -62,19 +62,21 @@ class EliasFano:
             out[order[lo:hi]] = values[index[order[lo:hi]] - s * STRIDE]
         return out
 
-    def successor(self, keys: np.ndarray) -> np.ndarray:
-        """For ascending keys the place of each in the sequence, -1 where it is not there."""
+    def successor(self, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For ascending keys the place of each between its begin and its end, -1 where it is not there.
+
+        Begins and ends ascend as well; only stretches that the ranges touch are decoded.
+        """
         out = np.full(len(keys), -1, np.int64)
-        if not self.n or not len(keys):
-            return out
-        stretch = np.searchsorted(self.skip_value, keys, side="right") - 1
-        for lo, hi in _runs(stretch):
-            s = int(stretch[lo])
-            if s < 0:
-                continue
-            values = self.decode(s * STRIDE, min(self.n, (s + 1) * STRIDE))
-            at = np.minimum(np.searchsorted(values, keys[lo:hi]), len(values) - 1)
-            out[lo:hi] = np.where(values[at] == keys[lo:hi], s * STRIDE + at, -1)
+        on = np.flatnonzero(begin < end)
+        for lo, hi in _runs(begin[on] // STRIDE):
+            i = on[lo:hi]
+            first = int(begin[i[0]]) // STRIDE * STRIDE
+            values = self.decode(first, min(self.n, -(-int(end[i[-1]]) // STRIDE) * STRIDE))
+            at = first + np.searchsorted(values, keys[i])
+            good = (at >= begin[i]) & (at < end[i])
+            good[good] = values[at[good] - first] == keys[i][good]
+            out[i[good]] = at[good]
         return out
 
     def arrays(self) -> list[np.ndarray]:
@@ -131,8 +133,8 @@ class Trie:
 
     Level j holds the prefixes of j words: the words of a node's successors ascend, and adding the parent's rank times
     the number of words makes the whole level ascend, so one Elias-Fano sequence holds it; pointers[j] holds where the
-    successors of each node of level j begin, ascending as well. A successor is searched among its context's successors
-    only: its key has the context's rank in front. Each node has two codes: `takes` for n-grams that were counted here and
+    successors of each node of level j begin, ascending as well. A successor is searched between its context's pointers
+    only, and its key has the context's rank in front. Each node has two codes: `takes` for n-grams that were counted here and
     `leaves` for contexts. All of it lies in one mapped file.
     """
 
@@ -178,12 +180,9 @@ class Trie:
             of = np.cumsum(new) - 1
             on = np.flatnonzero(node >= 0)
             at = self.levels[j]
-            if j:
-                starts = self._sequence(at + 5)  # contexts without successors need no search
-                more = starts.at(node[on] + 1) > starts.at(node[on])
-                node[on[~more]] = -1
-                on = on[more]
-            node[on] = self._sequence(at).successor(node[on] * self.width + rows[first[on], j])
+            starts = self._sequence(at + 5)
+            begin, end = starts.at(node[on]), starts.at(node[on] + 1)  # a context's successors stand between its pointers
+            node[on] = self._sequence(at).successor(node[on] * self.width + rows[first[on], j], begin, end)
         return node[of]
 
     def takes(self, rows: np.ndarray) -> np.ndarray:

@@ -25,7 +25,6 @@ repeated rows count and are scored one by one; an empty table gives an empty res
 from __future__ import annotations
 
 import pickle
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import raw_texts, scratch, write_table
+from tessella.llm.common import bucketed, raw_texts, write_table
 from tessella.llm.eliasfano import NONE, Trie, dequantise
 from tessella.runtime import ship_package
 
@@ -153,20 +152,16 @@ def _ask_words(cut: DataFrame, shards: int) -> DataFrame:
             for block, words, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ws, (c,) = _split_words(words), unpack(counts)
                 at = _word_shards(ws, shards)
-                order = np.argsort(at, kind="stable")
-                cuts = np.searchsorted(at[order], np.arange(shards + 1))
                 rows = []
-                for s in range(shards):
-                    i = order[cuts[s] : cuts[s + 1]]
-                    if len(i):
-                        rows.append((block, s, 0, pickle.dumps((zstandard.compress(pickle.dumps([ws[j] for j in i], 5)), pack(c[i])), 5)))
+                for s, i in _slices(at, shards):
+                    rows.append((block, s, 0, pickle.dumps((zstandard.compress(pickle.dumps([ws[j] for j in i], 5)), pack(c[i])), 5)))
                 yield from _table(rows).to_batches()
 
     return cut.select("block", "words", "counts").mapInArrow(run, _ROW)
 
 
 def _serve_words(asked: DataFrame, shards: int) -> DataFrame:
-    """Answers (block, shard, 1, [numbers, counts]) and one row (-1, shard, 2, [distinct training words]) for each shard.
+    """Answers (block, shard, 1, [numbers, counts]) and one row (distinct training words, shard, 2, nothing) for each shard.
 
     A word's number is its rank by count in its shard times the number of shards plus the shard: frequent words are small.
     """
@@ -185,7 +180,7 @@ def _serve_words(asked: DataFrame, shards: int) -> DataFrame:
         number[order] = np.arange(len(order)) * shards + shard
         ends = np.cumsum([0, *sizes])
         rows = [(b, shard, 1, pack(number[local[lo:hi]], counts[local[lo:hi]])) for b, lo, hi in zip(blocks_, ends, ends[1:], strict=False)]
-        return _table([*rows, (-1, shard, 2, pack(np.array([(counts > 0).sum(), len(counts)])))])
+        return _table([*rows, (int((counts > 0).sum()), shard, 2, b"")])
 
     return asked.groupBy("shard").applyInArrow(run, _ROW)
 
@@ -193,9 +188,9 @@ def _serve_words(asked: DataFrame, shards: int) -> DataFrame:
 def _numbered(part: dict, answers: list[tuple], shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Global numbers and counts of a block's words."""
     at = _word_shards(_split_words(part["words"]), shards)
-    number, count = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    for s, body in answers:
-        number[at == s], count[at == s] = unpack(body)
+    number, count, of = np.empty(len(at), np.int64), np.empty(len(at), np.int64), dict(answers)
+    for s, i in _slices(at, shards):
+        number[i], count[i] = unpack(of[s])
     return number, count
 
 
@@ -255,12 +250,11 @@ class _BlockGrams:
             c_at = np.repeat(np.arange(len(context)), spread)
             c_target = (home[c_at] + np.arange(len(c_at)) - np.repeat(np.cumsum(spread) - spread, spread)) % self.shards
             c_order = _by_shard(c_target, self.shards)
-            cuts = np.searchsorted(target[order], np.arange(self.shards + 1))
-            c_cuts = np.searchsorted(c_target[c_order], np.arange(self.shards + 1))
-            for s in range(self.shards):
-                i, j = order[cuts[s] : cuts[s + 1]], c_at[c_order[c_cuts[s] : c_cuts[s + 1]]]
-                if len(j):
-                    parts.setdefault(s, {})[k] = (i, j) if places_only else (i, j, context[j], total[j], np.searchsorted(j, of[i]), rows[i, -1], n[i])
+            asked, c_cuts = np.unique(c_target[c_order], return_index=True)  # only shards that get something; n-grams go where their contexts go
+            cuts, c_cuts = np.searchsorted(target[order], [*asked, self.shards]), [*c_cuts, len(c_order)]
+            for x, s in enumerate(asked.tolist()):
+                i, j = order[cuts[x] : cuts[x + 1]], c_at[c_order[c_cuts[x] : c_cuts[x + 1]]]
+                parts.setdefault(s, {})[k] = (i, j) if places_only else (i, j, context[j], total[j], np.searchsorted(j, of[i]), rows[i, -1], n[i])
         yield from sorted(parts.items())
 
     def _contexts(self, k: int) -> tuple:
@@ -292,6 +286,13 @@ def _by_shard(target: np.ndarray, shards: int) -> np.ndarray:
     return np.argsort(target.astype(np.uint16) if shards <= 1 << 16 else target, kind="stable")
 
 
+def _slices(target: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that is a target, and the places where it is, after one sort."""
+    order = _by_shard(target, shards)
+    found, first = np.unique(target[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, first[1:]), strict=False)
+
+
 def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct rows and each row's place among them."""
     if not len(rows):
@@ -375,22 +376,16 @@ def _gathered(own: pa.Table, answers: pa.Table) -> tuple[dict, list[tuple], list
     return own.to_pylist()[0], words, sorted(grams)
 
 
-def _bucketed(cut: DataFrame) -> DataFrame:
-    """Blocks as a table bucketed by block: what is brought to them is shuffled, they are not."""
-    spark, name = cut.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut.write.bucketBy(buckets, "block").option("compression", "none").option("path", scratch(spark, "blocks")).saveAsTable(name)
-    return spark.table(name)
-
-
 def score(docs: DataFrame, order: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     ship_package(docs.sparkSession)
-    cut = _bucketed(blocks(docs, doc_id, text))
+    spark = docs.sparkSession
+    # Blocks are bucketed by block: what is brought to them is shuffled, they are not.
+    cut = bucketed(blocks(docs, doc_id, text), "lm_blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")), "none", False)
     total = cut.agg(F.sum("trained")).first()[0] or 0
     shards = max(4, -(-total // SHARD_TOKENS))
     answers = write_table(_serve_words(_ask_words(cut, shards), shards), "words")
-    distinct = sum(int(unpack(r.body)[0][0]) for r in answers.where("kind = 2").select("body").toLocalIterator())  # a number a shard
+    distinct = answers.where("kind = 2").agg(F.sum("block")).first()[0] or 0
     words = answers.where("kind = 1")
     parts = cut.select("block", "ids", "sizes", "held", "words", "body")
     grams = write_table(_serve_grams(_ask_grams(parts, words, shards, total, order)), "grams")

@@ -110,6 +110,26 @@ def test_op2_targets_and_cuts(odd, docs, empty):
     assert out.columns == odd.columns and {r.text for r in out.collect()} <= {r[1] for r in ODD}
 
 
+def test_op2_training_order_is_the_mix(spark, docs):
+    """Written over several files and read back, the rows stand in order of position, then hash, then copy."""
+    out = mixing.training_order(docs)
+    want = []
+    for r in mixing.mix(docs).collect():
+        want += [(c.position, r.h, j, r.doc_id) for j, c in enumerate(r.copies) if 2 * c.taken >= r.size]
+    assert [r.doc_id for r in out.collect()] == [w[3] for w in sorted(want)]
+    ranks = sorted((r.first_rank, r.first_position, r.h) for r in mixing.ranked(mixing.mix(docs)).collect() if r.first_rank)
+    assert [r[0] for r in ranks] == list(range(1, len(ranks) + 1)) and [r[1:] for r in ranks] == sorted(r[1:] for r in ranks)
+
+
+def test_op2_rows_without_an_id_are_spread(spark):
+    """A third of the rows has no id: they fall into many buckets, and each is laid out by itself."""
+    rows = [(None if i % 3 == 0 else i, " ".join(["w"] * (1 + i % 5)) + f" {i}", "s") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == 600 and len({r.h[:3] for r in mixed if r.doc_id is None}) > 150
+    assert sorted(r.text for r in mixing.training_order(df).collect()) == sorted(t for _, t, _ in rows)
+
+
 def test_op2_demand_inverts():
     knots = mixing.SCHEDULES[0]
     from pyspark.sql import SparkSession
@@ -128,6 +148,10 @@ def test_op3(spark):
     assert set(got) == {(5, "missing"), (250, "missing"), (99, "changed"), (5000, "extra")}
     size = lambda u, h: len(f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(h)}\r\n\r\n{h}\r\n\r\n")
     assert got[5, "missing"].file_offset == sum(size(f"u{i}", f"<p>{i}</p>") for i in range(5))
+    hurt = fixity.locate(pages, pages.withColumn("html", F.when(F.col("page_id").isNotNull(), F.col("html")))).collect()
+    assert sorted(map(str, {(r.page_id, r.kind, r.file_no) for r in hurt})) == sorted(map(str, {(None, "missing", None), (None, "extra", None)}))
+    whole = fixity.locate(pages.where("page_id < 200"), pages.where("page_id < 200").withColumn("html", F.lit("bad")))  # a wholly bad replica: one row a record
+    assert whole.count() == 200 and whole.agg(F.max("file_offset")).first()[0] == sum(size(f"u{i}", f"<p>{i}</p>") for i in range(199)) + 2 * size("", "")
     differ, counts = fixity.audit(fixity.tree(pages), fixity.tree(other))
     assert differ.count() == 4 and counts[-1] < 100  # only mismatching branches were opened
 
@@ -503,6 +527,29 @@ def test_op10_empty_and_filter(empty, odd):
     assert out.columns == odd.columns and {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 6, 7, 8, None, 9, 10}
 
 
+def test_op1_a_successor_stands_between_its_pointers():
+    from tessella.llm.eliasfano import STRIDE, EliasFano
+
+    rnd = np.random.default_rng(3)
+    values = np.unique(rnd.integers(0, 1 << 22, 5 * STRIDE))
+    ef = EliasFano.of(values)
+    begin = np.sort(rnd.integers(0, len(values), 400))
+    end = np.minimum(np.maximum.accumulate(begin + rnd.integers(0, 2 * STRIDE, 400)), len(values))
+    keys = np.sort(np.where(rnd.random(400) < 0.7, values[np.minimum((begin + end) // 2, len(values) - 1)], rnd.integers(0, 1 << 22, 400)))
+    want = [next((a + i for i, v in enumerate(values[a:b].tolist()) if v == k), -1) for k, a, b in zip(keys.tolist(), begin, end, strict=True)]
+    assert ef.successor(keys, begin, end).tolist() == want and max(want) > 0
+
+
+def test_scratch_tables_leave_no_names_and_can_be_dropped(spark, docs):
+    from tessella.llm.common import bucketed, drop_scratch, scratch
+
+    before = {t.name for t in spark.catalog.listTables()}
+    df = bucketed(docs.select("doc_id"), "some_table", "doc_id", 3)
+    assert {t.name for t in spark.catalog.listTables()} == before and df.count() == docs.count()
+    assert "Exchange" not in df.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert scratch(spark, "x") and drop_scratch(spark) > 0
+
+
 def test_words_hash_like_crc32():
     assert ngram.held_out(None) and ngram.held_out(5) == (zlib.crc32(b"5") % 10 == 0)
 
