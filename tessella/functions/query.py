@@ -79,16 +79,18 @@ def condition_column(attr: Attr, c: Condition) -> Column:
     value = c.value.encode() if isinstance(c.value, str) else c.value
     if attr.physical == FLOAT and math.isnan(value):
         return F.lit(False)
-    literal = F.lit(value)
     if attr.physical == FLOAT:
         literal = F.lit(value).cast("double")
     elif attr.physical == UINT and attr.width == 8:
-        literal = F.lit(str(value)).cast("decimal(20,0)")
+        literal = F.lit(str(value)).cast("decimal(38,0)" if value >= 1 << 64 else "decimal(20,0)")
     elif isinstance(value, int) and not -(1 << 63) <= value < 1 << 63:
         literal = F.lit(str(value)).cast("decimal(38,0)")
+    else:
+        literal = F.lit(value)
     out = OPS[c.op](F.col(attr.name), literal)
-    # IEEE comparison: a stored NaN satisfies nothing, Spark holds it above all numbers.
-    return out & ~F.isnan(attr.name) if attr.physical == FLOAT else out
+    # IEEE comparison: a stored NaN satisfies nothing. Spark holds it above all numbers, so only > and >= need an upper end, and
+    # unlike isnan a comparison is pushed down to the files.
+    return out & (F.col(attr.name) <= F.lit(math.inf)) if attr.physical == FLOAT and c.op in (">", ">=") else out
 
 
 def matches(query: Query, schema: Schema, row: dict) -> bool:

@@ -86,13 +86,12 @@ class Schema:
     attrs: tuple[Attr, ...]
     rho: float = 0.001
     estimator: bool = False
-    grid_cells: int = 256
     segment_rows: int = 4_000_000
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "attrs", tuple(self.attrs))
         names = [a.name.lower() for a in self.attrs]
-        if len(set(names)) != len(names) or {"pk", "payload", "_seq", "_op", "_ordinal"} & set(names):
+        if len(set(names)) != len(names) or {"pk", "payload", "_seq", "_op", "_age", "_segment", "_row"} & set(names):
             raise ValueError(f"attribute names clash: {names}")
         if not 0 < self.rho <= 1:
             raise ValueError(f"rho {self.rho}")
@@ -120,9 +119,14 @@ class Schema:
     def versions(self) -> T.StructType:
         return T.StructType([*self.rows.fields, T.StructField("_seq", T.LongType(), False), T.StructField("_op", T.ByteType(), False)])
 
+    @property
+    def stored(self) -> T.StructType:
+        """Versions as segments hold them: _age is 1 for a key's newest version in its segment."""
+        return T.StructType([*self.versions.fields, T.StructField("_age", T.IntegerType(), False)])
+
     def to_json(self) -> dict:
-        return {"attrs": [asdict(a) for a in self.attrs], "rho": self.rho, "estimator": self.estimator, "grid_cells": self.grid_cells, "segment_rows": self.segment_rows}
+        return {"attrs": [asdict(a) for a in self.attrs], "rho": self.rho, "estimator": self.estimator, "segment_rows": self.segment_rows}
 
     @classmethod
     def from_json(cls, d: dict) -> Schema:
-        return cls(tuple(Attr(**a) for a in d["attrs"]), d["rho"], d["estimator"], d["grid_cells"], d["segment_rows"])
+        return cls(tuple(Attr(**a) for a in d["attrs"]), d["rho"], d["estimator"], d["segment_rows"])

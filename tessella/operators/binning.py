@@ -1,6 +1,6 @@
 """How values become bins: a pooled bin budget, equal-mass range bins, balanced equality bins.
 
-The inputs are (value, count) runs, one for each distinct value of a segment, so this is driver-side planning.
+The inputs are a segment's distinct values with their numbers of rows, ascending; a task plans one attribute of one segment.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ import bisect
 import heapq
 import math
 
+import numpy as np
+
 
 def bin_budget(distinct: list[int], rho: float) -> list[int]:
     """Bins for each attribute. floor(attributes / rho) bins are shared out one by one to the attribute that gains most,
@@ -29,27 +31,39 @@ def bin_budget(distinct: list[int], rho: float) -> list[int]:
 def range_bins(runs: list[tuple[bytes, int]], bins: int) -> tuple[list[bytes], list[int]]:
     """Boundaries (bins + 1 of them, the last is the largest value) and counts of equal-mass bins.
 
-    The sweep gives each bin the share that the remaining mass leaves for the remaining bins and closes it at the run
-    border next to that share; a value never spans two bins, and every boundary is a value that occurs. Boundaries that
-    are not needed repeat the largest value, whose rows stand in the last bin.
+    A bin aims at the share that the rows not yet binned leave for the bins not yet closed. It takes values until the next
+    one would reach that share; it then ends after that value or before it, whichever comes nearer, and before it where both
+    are equally near; a value that alone reaches the share never joins what was taken before it. So a value never spans two bins, and
+    every boundary is a value that occurs. Boundaries that are not needed repeat the largest value, whose rows stand in the last bin.
     """
     if not runs:
         return [b"", b""], [0]
-    left, cuts, mass = sum(n for _, n in runs), [runs[0][0]], 0
-    for value, n in runs:
+    upto = np.concatenate([[0], np.cumsum([n for _, n in runs], dtype=np.int64)])
+    cuts, first = [0], 0
+    while len(cuts) < bins:
+        taken, total = int(upto[first]), int(upto[-1])
         open_bins = bins - len(cuts) + 1
-        if mass and open_bins > 1:
-            share = (left) / open_bins
-            if mass >= share or abs(mass - share) <= abs(mass + n - share):
-                cuts.append(value)
-                left -= mass
-                mass = 0
-        mass += n
-    cuts += [runs[-1][0]] * (bins + 1 - len(cuts))
+        # The first value with which the bin reaches its share: upto[i + 1] - taken >= (total - taken) / open_bins.
+        i = int(np.searchsorted(upto, taken + -(-(total - taken) // open_bins))) - 1
+        if i >= len(runs):
+            break
+        before, after = int(upto[i]) - taken, int(upto[i + 1]) - taken
+        share = (total - taken) / open_bins
+        alone = after - before >= share
+        end = i if i > first and (alone or share - before <= after - share) else i + 1
+        if end >= len(runs):
+            break
+        cuts.append(end)
+        first = end
+    values = [runs[i][0] for i in cuts] + [runs[-1][0]] * (bins + 1 - len(cuts))
     counts = [0] * bins
-    for value, n in runs:
-        counts[bin_of(cuts, value)] += n
-    return cuts, counts
+    edges = [*cuts, len(runs)]
+    for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        counts[b] = int(upto[hi] - upto[lo])
+    if len(cuts) < bins:  # boundaries that repeat the largest value: its rows stand in the last bin
+        counts[len(cuts) - 1] -= runs[-1][1]
+        counts[-1] += runs[-1][1]
+    return values, counts
 
 
 def bin_of(boundaries: list[bytes], value: bytes) -> int:

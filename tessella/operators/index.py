@@ -1,179 +1,276 @@
-"""A segment's index: its bins, what they hold, and which of them a condition can match."""
+"""Indexes of segments: their bins, what they hold, and which of them a condition can match.
+
+The index of all segments that one job writes is a Parquet table beside them, of three kinds of rows: `bins` (an attribute's bins
+with their boundaries as order keys), `values` (the dictionaries of equality attributes) and `summary` (one row for each
+segment and attribute). The driver holds the summaries only: bounds, counts, and dictionaries of at most KEYS values.
+"""
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.functions.intervals import Encoded, EncodedQuery, Interval, from_order_key, order_key
+from tessella.functions.intervals import Encoded, EncodedQuery, from_order_key, order_key
 from tessella.functions.schema import FLOAT, RANGE, Attr, Schema
-from tessella.operators.binning import bin_budget, bin_of, equality_bins, range_bins
+from tessella.operators.binning import bin_budget, equality_bins, range_bins
 from tessella.runtime import ship_package
 
+SIDECAR = "segment string, attr string, bin int, low binary, high binary, last boolean, text string, n long, distinct long, keys array<binary>, kind string"
+SIDE_NAMES = [c.split()[0] for c in SIDECAR.split(", ")]
+#: Largest dictionary that a summary holds.
+KEYS = 256
 
-@dataclass
-class AttrIndex:
-    """Boundaries of range bins or the dictionary of equality bins; rows of each bin; distinct values."""
 
-    name: str
-    counts: list[int]
-    distinct: int
-    boundaries: list[bytes] | None = None
-    values: dict[bytes, int] | None = None
-    value_counts: dict[bytes, int] = field(default_factory=dict)
+@dataclass(frozen=True)
+class AttrSummary:
+    """What the driver knows of an attribute in a segment."""
 
-    @property
-    def rows(self) -> int:
-        return sum(self.counts)
+    rows: int = 0
+    distinct: int = 0
+    bins: int = 1
+    least: bytes = b""
+    most: bytes = b""
+    keys: tuple[bytes, ...] | None = None
 
     def possible(self, e: Encoded) -> bool:
         if not self.rows:
             return False
-        if self.boundaries is not None:
-            return e.interval.meets(self.boundaries[0], self.boundaries[-1])
-        return e.key in self.values
-
-    def bins(self, e: Encoded) -> tuple[int, int] | None:
-        """First and last bin that can hold a match, None if none can."""
-        if not self.possible(e):
-            return None
-        if self.boundaries is None:
-            return self.values[e.key], self.values[e.key]
-        i: Interval = e.interval
-        first = 0 if i.low <= self.boundaries[0] else bin_of(self.boundaries, i.low)
-        if i.high is None or i.high >= self.boundaries[-1]:
-            last = len(self.counts) - 1
-        else:
-            last = bin_of(self.boundaries, i.high)
-            if i.high_open and self.boundaries[last] == i.high:
-                last -= 1
-        return (first, last) if last >= first else None
+        if e.interval is not None:
+            return e.interval.meets(self.least, self.most)
+        return e.key in self.keys if self.keys is not None else self.least <= e.key <= self.most
 
-    def to_json(self) -> dict:
-        return {
-            "name": self.name, "counts": self.counts, "distinct": self.distinct, "boundaries": None if self.boundaries is None else [b.hex() for b in self.boundaries],
-            "values": None if self.values is None else {k.hex(): v for k, v in self.values.items()}, "value_counts": {k.hex(): v for k, v in self.value_counts.items()},
-        }
+    def to_json(self) -> list:
+        return [self.rows, self.distinct, self.bins, self.least.hex(), self.most.hex(), None if self.keys is None else [k.hex() for k in self.keys]]
 
     @classmethod
-    def from_json(cls, d: dict) -> AttrIndex:
-        undo = lambda m: {bytes.fromhex(k): v for k, v in m.items()}
-        return cls(d["name"], d["counts"], d["distinct"], None if d["boundaries"] is None else [bytes.fromhex(b) for b in d["boundaries"]], None if d["values"] is None else undo(d["values"]), undo(d["value_counts"]))
+    def from_json(cls, d: list) -> AttrSummary:
+        return cls(d[0], d[1], d[2], bytes.fromhex(d[3]), bytes.fromhex(d[4]), None if d[5] is None else tuple(map(bytes.fromhex, d[5])))
 
 
-def runs_of(rows: DataFrame, schema: Schema) -> DataFrame:
-    """pos, text, n: each distinct value of each attribute in a segment's data rows, and its number of rows."""
-    data, parts = rows.where(F.col("_op") == 0), []
-    for pos, a in enumerate(schema.attrs):
-        value = F.hex(a.name) if a.is_bytes else F.col(a.name).cast("double" if a.physical == FLOAT else a.spark_type).cast("string")
-        parts.append(data.where(F.col(a.name).isNotNull()).select(F.lit(pos).alias("pos"), value.alias("text")))
-    return reduce(DataFrame.unionByName, parts).groupBy("pos", "text").agg(F.count(F.lit(1)).alias("n"))
+def can_match(summaries: dict[str, AttrSummary], query: EncodedQuery) -> bool:
+    """Whether a segment can hold a match: no clause may be impossible in all its members."""
+    return not query.unsat and all(any(summaries[e.attr].possible(e) for e in clause) for clause in query.clauses)
 
 
-def _key_of(attr: Attr, text: str) -> bytes:
-    return order_key(attr, bytes.fromhex(text) if attr.is_bytes else float(text) if attr.physical == FLOAT else int(text))
+def value_text(attr: Attr) -> Column:
+    """A value as text, the same for equal values: dictionaries are joined on it."""
+    if attr.is_bytes:
+        return F.hex(attr.name)
+    return (F.col(attr.name).cast("double") + F.lit(0.0) if attr.physical == FLOAT else F.col(attr.name)).cast("string")  # both zeros are one
 
 
-def plan(runs: dict[str, list[tuple[bytes, int]]], schema: Schema) -> list[AttrIndex]:
-    """The bins of a segment from its runs (order key, rows), ascending."""
-    budget, out = bin_budget([len(runs[a.name]) for a in schema.attrs], schema.rho), []
-    for a, bins in zip(schema.attrs, budget, strict=True):
-        r = runs[a.name]
-        if a.index == RANGE:
-            boundaries, counts = range_bins(r, bins)
-            out.append(AttrIndex(a.name, counts, len(r), boundaries=boundaries))
-        else:
-            values = equality_bins(r, bins)
-            counts = [0] * bins
-            for v, n in r:
-                counts[values[v]] += n
-            out.append(AttrIndex(a.name, counts, len(r), values=values, value_counts=dict(r)))
-    return out
+def key_of(attr: Attr, text: str) -> bytes:
+    return order_key(attr, bytes.fromhex(text) if attr.is_bytes else float(text) if attr.physical == FLOAT else int(text))
 
 
-def build(rows: DataFrame, schema: Schema) -> dict[str, AttrIndex]:
-    """The index of one segment. Values are counted by all tasks; one task of the segment plans its bins from the counts, whose
-    number the segment's rows bound; the driver gets boundaries and dictionaries only."""
-    if not schema.attrs:
-        return {}
+def build(rows: DataFrame, schema: Schema, path: str) -> dict[str, dict[str, AttrSummary]]:
+    """Writes the index of rows (versions with a column _segment) to path; returns the summaries by segment and attribute. The numbers of
+    rows of all values stay beside it, at path-runs, for the caller to delete.
+
+    All tasks count values; a task plans the bins of one attribute of one segment, whose rows bound its number of values.
+    """
     ship_package(rows.sparkSession)
     attrs, rho = schema.attrs, schema.rho
-
-    def planned(batches):
-        found = [{} for _ in attrs]
-        for batch in batches:
-            for pos, text, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                key = _key_of(attrs[pos], text)
-                found[pos][key] = found[pos].get(key, 0) + n  # both zeros are one value
-        made = plan({a.name: sorted(f.items()) for a, f in zip(attrs, found, strict=True)}, Schema(attrs, rho))
-        yield pa.RecordBatch.from_pydict({"index": [json.dumps(i.to_json()) for i in made]})
-
-    lines = runs_of(rows, schema).coalesce(1).mapInArrow(planned, "index string").collect()
-    made = [AttrIndex.from_json(json.loads(line[0])) for line in lines]
-    return {i.name: i for i in made or plan({a.name: [] for a in attrs}, schema)}
-
-
-def bin_column(attr: Attr, index: AttrIndex, spark) -> tuple[Column | None, DataFrame | None]:
-    """The bin number of a row, as an expression (range) or as a small table to join (equality)."""
-    if not index.rows:
-        return F.lit(None).cast("int"), None
-    if index.boundaries is not None:
-        cuts = [_literal(attr, b) for b in index.boundaries[1:-1]]
-        bin_ = F.lit(0)
-        if cuts:
-            bin_ = F.size(F.filter(F.array(*cuts), lambda c: c <= F.col(attr.name)))
-        top = F.col(attr.name) >= _literal(attr, index.boundaries[-1])
-        return F.when(F.col(attr.name).isNull() | (F.col("_op") != 0), None).when(top, F.lit(len(index.counts) - 1)).otherwise(F.least(bin_, F.lit(len(index.counts) - 1))).cast("int"), None
-    rows = [(from_order_key(attr, k), v) for k, v in index.values.items()]
-    if attr.physical == "uint" and attr.width == 8:
-        from decimal import Decimal
-
-        rows = [(Decimal(k), v) for k, v in rows]
-    kind = attr.spark_type.simpleString()
-    return None, spark.createDataFrame([(bytearray(k) if isinstance(k, bytes) else k, v) for k, v in rows], f"`{attr.name}` {kind}, `_bin_{attr.name}` int")
-
-
-def _literal(attr: Attr, key: bytes) -> Column:
-    value = from_order_key(attr, key)
-    if attr.physical == "uint" and attr.width == 8:
-        return F.lit(str(value)).cast("decimal(20,0)")
-    return F.lit(bytearray(value) if isinstance(value, bytes) else value).cast(attr.spark_type)
+    texts = F.array(*[F.struct(F.lit(i).alias("pos"), value_text(a).alias("text")) for i, a in enumerate(attrs)])
+    runs = rows.where("_op = 0").select(F.col("_segment").alias("segment"), F.explode(texts).alias("v")).select("segment", "v.pos", "v.text").where("text IS NOT NULL")
+    runs.groupBy("segment", "pos", "text").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}-runs")  # looked at twice
+    runs = rows.sparkSession.read.schema("segment string, pos int, text string, n long").parquet(f"{path}-runs")
+
+    def planned(key: tuple, table: pa.Table) -> pa.Table:
+        segment, pos, bins = (k.as_py() for k in key)
+        attr, counts, texts = attrs[pos], {}, {}
+        for text, n in zip(table.column("text").to_pylist(), table.column("n").to_pylist(), strict=True):
+            k = key_of(attr, text)
+            counts[k], texts[k] = counts.get(k, 0) + n, text
+        found = sorted(counts.items())
+        out = []
+        if attr.index == RANGE:
+            cuts, sizes = range_bins(found, bins)
+            out += [(b, lo, hi, b == bins - 1, None, n, None, None, "bins") for b, (lo, hi, n) in enumerate(zip(cuts, cuts[1:], sizes, strict=False))]
+        else:
+            of, sizes = equality_bins(found, bins), [0] * bins
+            for k, n in found:
+                sizes[of[k]] += n
+            out += [(b, None, None, None, None, n, None, None, "bins") for b, n in enumerate(sizes)]
+            out += [(of[k], k, None, None, texts[k], n, None, None, "values") for k, n in found]
+        keys = [k for k, _ in found] if attr.index != RANGE and len(found) <= KEYS else None
+        out.append((bins, found[0][0], found[-1][0], None, None, sum(sizes), len(found), keys, "summary"))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.string())
+        columns = [pa.array([x] * len(out), pa.string()) for x in (segment, attr.name)] + [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+        return pa.table(columns, names=SIDE_NAMES)
+
+    budgets = _budgets(runs, schema, rho)
+    made = runs.join(budgets, ["segment", "pos"]).groupBy("segment", "pos", "bins").applyInArrow(planned, SIDECAR)
+    made.write.parquet(path)
+    out: dict[str, dict[str, AttrSummary]] = {}
+    for r in read(rows.sparkSession, [path]).where("kind = 'summary'").collect():  # a row for each segment and attribute
+        keys = None if r.keys is None else tuple(map(bytes, r.keys))
+        out.setdefault(r.segment, {})[r.attr] = AttrSummary(r.n, r.distinct, r.bin, bytes(r.low), bytes(r.high), keys)
+    return out
 
 
-def can_match(indexes: dict[str, AttrIndex], query: EncodedQuery) -> bool:
-    return not query.unsat and all(any(indexes[e.attr].possible(e) for e in clause) for clause in query.clauses)
+def _budgets(runs: DataFrame, schema: Schema, rho: float) -> DataFrame:
+    """segment, pos, bins: from the numbers of distinct values alone, a row for each segment and attribute."""
+    distinct: dict[str, dict[int, int]] = {}
+    for r in runs.groupBy("segment", "pos").agg(F.count(F.lit(1)).alias("n")).collect():
+        distinct.setdefault(r.segment, {})[r.pos] = r.n
+    rows = []
+    for segment, by in distinct.items():
+        budget = bin_budget([by.get(i, 0) for i in range(len(schema.attrs))], rho)
+        rows += [(segment, i, budget[i]) for i in by]
+    return runs.sparkSession.createDataFrame(rows, "segment string, pos int, bins int")
+
+
+def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The index rows at the given places; it needs no schema of the table."""
+    return spark.read.schema(SIDECAR).parquet(*paths) if paths else spark.createDataFrame([], SIDECAR)
+
+
+def _literal(value: bytes) -> Column:
+    return F.lit(bytearray(value))
+
+
+def touched(index: DataFrame, conditions: list[Encoded]) -> DataFrame:
+    """segment, j, first, last, low, high, closed: the bins that condition j can match. Range bins are [low, high), the segment's
+    last one is closed; an equality condition touches the one bin that holds its value."""
+    parts = []
+    for j, e in enumerate(conditions):
+        rows = index.where(F.col("attr") == e.attr)
+        if e.interval is not None:
+            i = e.interval
+            reaches = F.col("high") > _literal(i.low)
+            if not i.low_open:
+                reaches = reaches | (F.col("last") & (F.col("high") == _literal(i.low)))
+            begins = F.lit(True) if i.high is None else F.col("low") < _literal(i.high) if i.high_open else F.col("low") <= _literal(i.high)
+            rows = rows.where((F.col("kind") == "bins") & reaches & begins)
+        else:
+            rows = rows.where((F.col("kind") == "values") & (F.col("low") == _literal(e.key)))
+        parts.append(rows.select("segment", F.lit(j).alias("j"), "bin", "low", "high", "last"))
+    return reduce(DataFrame.unionByName, parts).groupBy("segment", "j").agg(
+        F.min("bin").alias("first"), F.max("bin").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("last").alias("closed")
+    )
 
 
-def candidate_column(indexes: dict[str, AttrIndex], query: EncodedQuery) -> Column:
-    """The pruning filter on bin columns: a superset of the matches."""
-    out = F.col("_op") == 0
+def typed(attr: Attr, key: bytes) -> object:
+    """A value that a row of the attribute's Spark type can hold."""
+    value = from_order_key(attr, key)
+    return bytearray(value) if attr.is_bytes else Decimal(value) if attr.physical == "uint" and attr.width == 8 else value
+
+
+def candidates(rows: DataFrame, index: DataFrame, query: EncodedQuery, schema: Schema) -> DataFrame:
+    """Data versions (rows with a column _segment) whose bins the query can match: a superset of the matches.
+
+    Ranges are widened to the edges of their bins in the row's segment; an equality condition takes all values of its bin.
+    """
+    conditions = [e for clause in query.clauses for e in clause]
+    rows = rows.where("_op = 0")
+    if not conditions:
+        return rows
+    names, spark = rows.columns, rows.sparkSession
+    plan: dict[str, list] = {}
+    for r in touched(index, conditions).collect():  # a row for each segment and condition
+        plan.setdefault(r.segment, [None] * (3 * len(conditions)))
+        attr = schema.attr(conditions[r.j].attr)
+        is_range = conditions[r.j].interval is not None
+        plan[r.segment][3 * r.j : 3 * r.j + 3] = [typed(attr, bytes(r.low)), typed(attr, bytes(r.high)), r.closed] if is_range else [r.first, None, None]
+    fields = [T.StructField("_segment", T.StringType())]
+    for j, e in enumerate(conditions):
+        kind = schema.attr(e.attr).spark_type if e.interval is not None else T.IntegerType()
+        if kind == T.FloatType():
+            kind = T.DoubleType()
+        fields += [T.StructField(f"_lo{j}", kind), T.StructField(f"_hi{j}", kind), T.StructField(f"_top{j}", T.BooleanType())]
+    edges = spark.createDataFrame([(s, *v) for s, v in plan.items()], T.StructType(fields))
+    rows = rows.join(F.broadcast(edges), "_segment")  # a row for each segment
+    holds = {}
+    for j, e in enumerate(conditions):
+        attr = schema.attr(e.attr)
+        lo, hi, top = F.col(f"_lo{j}"), F.col(f"_hi{j}"), F.col(f"_top{j}")
+        if e.interval is not None:
+            value = F.col(attr.name)
+            holds[j] = (value >= lo) & ((value < hi) | (top & (value <= hi)))
+        else:
+            wanted = edges.select(F.col("_segment").alias(f"_s{j}"), lo.alias("_bin")).where("_bin IS NOT NULL")
+            values = index.where((F.col("kind") == "values") & (F.col("attr") == attr.name)).join(F.broadcast(wanted), (F.col("segment") == F.col(f"_s{j}")) & (F.col("bin") == F.col("_bin")))
+            values = values.select(F.col("segment").alias(f"_s{j}"), F.col("text").alias(f"_t{j}"))
+            rows = rows.join(values, (F.col("_segment") == F.col(f"_s{j}")) & (value_text(attr) == F.col(f"_t{j}")), "left")
+            holds[j] = F.col(f"_t{j}").isNotNull()
+    at, clauses = 0, []
     for clause in query.clauses:
-        any_ = F.lit(False)
-        for e in clause:
-            bins = indexes[e.attr].bins(e)
-            if bins:
-                any_ = any_ | F.col(f"_bin_{e.attr}").between(*bins)
-        out = out & any_
-    return out if not query.unsat else F.lit(False)
+        clauses.append(reduce(or_, [F.coalesce(holds[j], F.lit(False)) for j in range(at, at + len(clause))]))
+        at += len(clause)
+    return rows.where(reduce(and_, clauses)).select(names)
 
 
-def bitmaps(segment: DataFrame, attrs: list[str]) -> DataFrame:
-    """attr, bin, bucket, bm, card: row-number bitmaps of each bin, data rows only. segment has _row (from 0) and _bin_ columns."""
-    parts = [segment.where((F.col("_op") == 0) & F.col(f"_bin_{a}").isNotNull()).select(F.lit(a).alias("attr"), F.col(f"_bin_{a}").alias("bin"), (F.col("_row") + 1).alias("i")) for a in attrs]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("attr", "bin", F.bitmap_bucket_number("i").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("i")).alias("bm")).withColumn("card", F.bitmap_count("bm"))
+def _cuts_up_to(cuts: Column, value: Column) -> Column:
+    """How many of the ascending cuts are not above the value, by bisection."""
+    halves = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    begin = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
 
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        up = (at["lo"] < at["hi"]) & (F.get(cuts, mid) <= value)
+        return F.struct(F.when(up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when((at["lo"] < at["hi"]) & ~up, mid).otherwise(at["hi"]).alias("hi"))
 
-def intersect(clause_bitmaps: DataFrame, clauses: int) -> DataFrame:
-    """bucket, bm, card over (clause, bucket, bm): OR inside a clause, AND across. A bucket that a clause lacks is empty."""
-    each = clause_bitmaps.groupBy("clause", "bucket").agg(F.bitmap_or_agg("bm").alias("bm"))
-    return each.groupBy("bucket").agg(F.bitmap_and_agg("bm").alias("bm"), F.count(F.lit(1)).alias("n")).where(F.col("n") == clauses).select("bucket", "bm", F.bitmap_count("bm").alias("card"))
+    return F.aggregate(halves, begin, halve, lambda at: at["lo"])
 
 
+def row_bins(rows: DataFrame, index: DataFrame, attrs: list[Attr]) -> DataFrame:
+    """Versions with a column _bin_<attribute> for each of the attributes: a range value's bin is the number of boundaries up to it less
+    one, at most the last. Nulls and tombstones are in no bin."""
+    names = rows.columns
+    data = F.col("_op") == 0
+    for a in attrs:
+        if a.index == RANGE:
+            lows: dict[str, list] = {}
+            for r in index.where((F.col("kind") == "bins") & (F.col("attr") == a.name)).orderBy("segment", "bin").select("segment", "low").collect():
+                lows.setdefault(r.segment, []).append(typed(a, bytes(r.low)))
+            kind = T.DoubleType() if a.spark_type == T.FloatType() else a.spark_type
+            cuts = rows.sparkSession.createDataFrame(list(lows.items()), T.StructType([T.StructField("_segment", T.StringType()), T.StructField("_cuts", T.ArrayType(kind))]))
+            below = _cuts_up_to(F.col("_cuts"), F.col(a.name)) - 1
+            # Boundaries that repeat the largest value count up to the last bin, where its rows stand.
+            rows = rows.join(F.broadcast(cuts), "_segment", "left").withColumn(f"_bin_{a.name}", F.when(data & F.col(a.name).isNotNull(), below).cast("int"))
+        else:
+            values = index.where((F.col("kind") == "values") & (F.col("attr") == a.name)).select(F.col("segment").alias("_s"), F.col("text").alias("_t"), F.col("bin").alias(f"_bin_{a.name}"))
+            rows = rows.join(values, (F.col("_segment") == F.col("_s")) & (value_text(a) == F.col("_t")) & data, "left")
+        names = [*names, f"_bin_{a.name}"]
+        rows = rows.select(names)
+    return rows
+
+
+def bitmaps(binned: DataFrame, attrs: list[Attr]) -> DataFrame:
+    """segment, attr, bin, bucket, bm, card: bitmaps of row numbers for each bin, and for tombstones (attr '').
+
+    binned: rows of row_bins with _segment and _row (a row's number in its segment, from 0).
+    """
+    each = [F.struct(F.lit(a.name).alias("attr"), F.col(f"_bin_{a.name}").alias("bin")) for a in attrs]
+    each.append(F.struct(F.lit("").alias("attr"), F.when(F.col("_op") == 1, 0).alias("bin")))
+    rows = binned.select(F.col("_segment").alias("segment"), (F.col("_row") + 1).alias("i"), F.explode(F.array(*each)).alias("v")).where("v.bin IS NOT NULL")
+    return rows.groupBy("segment", "v.attr", "v.bin", F.bitmap_bucket_number("i").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("i")).alias("bm")).withColumn("card", F.bitmap_count("bm"))
+
+
+def select_bitmaps(bits: DataFrame, index: DataFrame, query: EncodedQuery) -> DataFrame:
+    """segment, bucket, bm, card: OR over the bins of a condition and over the conditions of a clause, AND over the clauses. A bucket
+    that a clause lacks is empty. The query has a clause at least; tombstones are in no bin, so they need not be taken away."""
+    conditions = [(c, e) for c, clause in enumerate(query.clauses) for e in clause]
+    spark = bits.sparkSession
+    which = spark.createDataFrame([(j, c, e.attr) for j, (c, e) in enumerate(conditions)], "j int, clause int, attr string")
+    wanted = touched(index, [e for _, e in conditions]).join(F.broadcast(which), "j").select("segment", "attr", "clause", "first", F.col("last").alias("upto"))
+    chosen = bits.join(wanted, ["segment", "attr"]).where(F.col("bin").between(F.col("first"), F.col("upto")))
+    each = chosen.groupBy("segment", "clause", "bucket").agg(F.bitmap_or_agg("bm").alias("bm"))
+    both = each.groupBy("segment", "bucket").agg(F.bitmap_and_agg("bm").alias("bm"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(query.clauses))
+    return both.select("segment", "bucket", "bm", F.bitmap_count("bm").alias("card")).where("card > 0")
+
+
+def at_bits(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows (with _segment and _row) whose bit is set in chosen (segment, bucket, bm)."""
+    bit = F.bitmap_bit_position(F.col("_row") + 1)
+    joined = rows.join(chosen.select("segment", "bucket", "bm"), (F.col("_segment") == F.col("segment")) & (F.bitmap_bucket_number(F.col("_row") + 1) == F.col("bucket")))
+    byte = F.conv(F.hex(F.expr("substring(bm, cast(bitmap_bit_position(_row + 1) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return joined.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(rows.columns)

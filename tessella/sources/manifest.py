@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import SparkSession
 
-FORMAT = 2
+FORMAT = 3
 
 
 class Store:
@@ -24,6 +25,10 @@ class Store:
     def children(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name))) if self.exists(name) else []
 
+    def age(self, name: str) -> float:
+        """Seconds since the file or folder was changed."""
+        return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 

@@ -2,11 +2,13 @@ import math
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessella.functions.intervals import Interval, encode, from_order_key, order_key
 from tessella.functions.query import Query, matches
 from tessella.functions.schema import BINARY, EQUALITY, FLOAT, INT, UINT, VARBINARY, Attr, Schema
-from tessella.operators.binning import bin_budget, equality_bins, range_bins
+from tessella.operators.binning import bin_budget, bin_of, equality_bins, range_bins
 
 A0, A1 = Attr("a0", physical=INT), Attr("a1", EQUALITY, VARBINARY, 0)
 SCHEMA = Schema((A0, A1), 0.1)
@@ -67,6 +69,40 @@ def test_range_bins():
     zero, one, two = (order_key(A0, i) for i in range(3))
     assert range_bins([(zero, 1), (one, 1), (two, 100)], 3) == ([zero, two, two, two], [2, 0, 100])
     assert range_bins([(zero, 50), (one, 150)], 2)[1] == [50, 150]
+    assert range_bins([(zero, 10), (one, 100), (two, 190)], 3) == ([zero, one, two, two], [10, 100, 190])  # a heavy value takes no lighter one along
+    shares = [6, 70, 12, 5, 3, 2, 2]
+    assert range_bins([(order_key(A0, i), 60 * n) for i, n in enumerate(shares)], 7)[1] == [60 * n for n in shares]
+
+
+def _swept(masses, bins):
+    """One value after the other: a bin ends before a value that alone reaches the share of the bins still open, or when its mass is at
+    least as near to that share without the value as with it."""
+    counts, left, mass, open_bins = [], sum(masses), 0, bins
+    for n in masses:
+        share = left / open_bins
+        if mass and open_bins > 1 and (n >= share or abs(mass - share) <= abs(mass + n - share)):
+            counts.append(mass)
+            left, mass, open_bins = left - mass, 0, open_bins - 1
+        mass += n
+    return [*counts, mass]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 5), st.integers(1, 500)), min_size=1, max_size=60), st.integers(1, 20))
+def test_range_bins_properties(masses, bins):
+    runs = [(order_key(A0, 3 * i), n) for i, n in enumerate(masses)]
+    cuts, counts = range_bins(runs, bins)
+    assert len(cuts) == bins + 1 and len(counts) == bins and sum(counts) == sum(masses)
+    assert cuts == sorted(cuts) and set(cuts) <= {k for k, _ in runs} and cuts[0] == runs[0][0] and cuts[-1] == runs[-1][0]
+    again = [0] * bins
+    for k, n in runs:
+        again[bin_of(cuts, k)] += n
+    assert counts == again  # a row's bin is found from the boundaries alone
+    want = _swept(masses, bins)
+    if len(want) == bins:
+        assert counts == want
+    else:  # what is left over repeats the largest value, whose rows stand in the last bin
+        assert counts == [*want[:-1], want[-1] - masses[-1], *[0] * (bins - len(want) - 1), masses[-1]]
 
 
 def test_equality_bins_balance():
