@@ -2,13 +2,16 @@
 
 1. Each text becomes the set of its 64-bit word-shingle hashes, a 128-bit fingerprint of that set and a MinHash
    signature. Equal sets are one class, represented by its smallest id; from here on only representatives take part.
-2. Signatures are banded. In each bucket all representatives are compared with one pivot. Buckets that still hold more
-   than one component after that make families; the members outside a family's largest component are compared with all
-   its members, in cells of bounded size. Members of one component are never compared again and a cell returns a forest,
-   so a group of near copies costs a few rows for each member and no pairs.
+2. Signatures are banded. In each bucket all representatives are compared with one pivot, and confirmed links make
+   components. In a bucket that still holds more than one component the members outside its largest one are compared with all
+   members of other components, in cells of bounded size that hold signatures only: members of one component are never compared
+   again, and documents that share no bucket are never compared.
 3. A candidate pair is verified sequentially: signature batches are compared until the posterior probability of a
    similarity at the threshold or above (uniform prior, so a Beta posterior) falls below `miss`; then it is dropped.
-4. Survivors are confirmed on their full shingle sets, and confirmed links make components.
+4. Survivors are confirmed on their full shingle sets. Of the survivors between a document and a component the best TRIES are
+   confirmed first; if components remain of which some were left out, the next round takes RAISE times as many, with the
+   components as they are by then and without the pairs that were tried, until none is left out. So a group of near copies costs
+   a few rows for each member, and every survivor is tried unless its documents are joined already.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 5e-6; `miss` is 1e-6 a check.
 
@@ -36,8 +39,10 @@ from tessella.runtime import ship_package
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 4, 16
 THRESHOLD_PERCENT, MISS = 75, 1e-6
-#: A comparison cell holds up to X_BLOCK by M_BLOCK documents of a family and CELL_BYTES of shingles on the long side.
-X_BLOCK, M_BLOCK, CELL_BYTES, GROUP_DOCS = 512, 2048, 32 << 20, 20_000
+#: A comparison cell holds up to X_BLOCK by M_BLOCK documents of a bucket; a group of small cells follows GROUP_DOCS documents.
+X_BLOCK, M_BLOCK, GROUP_DOCS = 256, 1024, 20_000
+#: Survivors between a document and a component that are confirmed in the first round, and how their number grows.
+TRIES, RAISE = 4, 16
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,8 +105,8 @@ def fewest_matches(threshold: float, miss: float, hashes: int, batch: int) -> tu
     return tuple(out)
 
 
-def bayes_survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row numbers of the signature pairs that pass every batch."""
+def bayes_survivors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the signature pairs that pass every batch, and their equal hashes."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), int)
     for i, least in enumerate(fewest_matches(THRESHOLD_PERCENT / 100, MISS, BANDS * ROWS, BATCH)):
         at = slice(i * BATCH, (i + 1) * BATCH)
@@ -110,7 +115,7 @@ def bayes_survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         alive, matches = alive[keep], matches[keep]
         if not len(alive):
             break
-    return alive
+    return alive, matches
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -168,7 +173,7 @@ def _signed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).take(pa.array(bayes_survivors(a, b)))
+                yield batch.select(["a", "b"]).take(pa.array(bayes_survivors(a, b)[0]))
 
     return with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
@@ -205,71 +210,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct()
 
 
-def _compare(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], xs: np.ndarray, ms: np.ndarray) -> list[tuple[int, int]]:
-    """Confirmed links of xs with ms that join components, as a forest: pairs that are joined already are not compared."""
-    parent = {int(c): int(c) for c in np.unique(comp)}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
+def _compare(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, xs: np.ndarray, ms: np.ndarray, tries: int) -> list[tuple[int, int, bool]]:
+    """(a, b, left out) for pairs of xs with ms of other components whose signatures survive: the best `tries` between a document and a
+    component, and one row that says so if there were more."""
     out = []
-    group = comp.copy()
     for i in xs.tolist():
-        others = ms[group[ms] != group[i]]
-        others = others[bayes_survivors(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others])]
-        for j in others.tolist():
-            a, b = root(int(group[i])), root(int(group[j]))
-            if a != b and similar(sets[i], sets[j]):
-                parent[max(a, b)] = min(a, b)
-                group[group == max(a, b)] = min(a, b)
-                out.append((int(ids[i]), int(ids[j])))
+        others = ms[comp[ms] != comp[i]]
+        alive, matches = bayes_survivors(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others])
+        if not len(alive):
+            continue
+        others = others[alive]
+        order = np.lexsort((ids[others], -matches, comp[others]))
+        others = others[order]
+        first = np.flatnonzero(np.concatenate([[True], comp[others][1:] != comp[others][:-1]]))
+        place = np.arange(len(others)) - np.repeat(first, np.diff([*first, len(others)]))
+        out += [(int(ids[i]), int(j), False) for j in ids[others[place < tries]]]
+        if (place >= tries).any():
+            out.append((int(ids[i]), int(ids[i]), True))
     return out
 
 
-def _family_links(members: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Links between the components that still meet in a bucket. members: bucket, id, comp.
-
-    Documents that meet, directly or over others, are a family. The members outside its largest component are compared
-    with all its members, in cells of bounded size; a cell returns at most one link for each component that it joins.
-    """
+def _bucket_pairs(members: DataFrame, reps: DataFrame, tries: int) -> DataFrame:
+    """a, b, more: pairs to confirm between the components that meet in a bucket. members: bucket, id, comp."""
+    counts = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    sizes = sizes.select("bucket", F.col("m.comp").alias("main"), blocks(F.col("n"), M_BLOCK).alias("m_blocks"), blocks(F.col("n") - F.col("m.k"), X_BLOCK).alias("x_blocks")).where("x_blocks > 0")
     # A table of its own: a small one is broadcast, and next to a large one the join can split a bucket of very many.
-    least = checked_broadcast(members.groupBy("bucket").agg(F.min("id").alias("v")), 100_000)
-    family = components(members.join(least, "bucket").select(F.col("id").alias("u"), "v"), "families")
-    rows = write_table(members.select("id", "comp").distinct().join(family, "id").withColumnRenamed("component", "family"), "family")
-    sets = _full_sets(rows.select("id").distinct(), docs, reps.select("id", "fp"), doc_id, text)
-    rows = write_table(rows.join(reps.select("id", "sig"), "id").join(sets, "id"), "family_sets")
-    counts = rows.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("shingles")).alias("bytes"))
-    sizes = counts.groupBy("family").agg(F.sum("k").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("k", "comp")).alias("m"))
-    m_blocks = F.greatest(F.ceil(F.col("n") / M_BLOCK), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int")
-    x_blocks = F.ceil((F.col("n") - F.col("m.k")) / X_BLOCK).cast("int")
-    sizes = sizes.select("family", F.col("m.comp").alias("main"), m_blocks.alias("m_blocks"), x_blocks.alias("x_blocks")).where("x_blocks > 0")
-    rows = rows.join(sizes, "family")
+    rows = members.join(checked_broadcast(sizes, 100_000), "bucket").join(reps.select("id", "sig"), "id")
     h = F.xxhash64("id", F.lit(3))
     whole = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    columns = ["family", "x", "m", "left", "id", "comp", "sig", "shingles"]
+    columns = ["bucket", "x", "m", "left", "id", "comp", "sig"]
     left = rows.where(F.col("comp") != F.col("main")).withColumn("left", F.lit(True)).withColumn("x", F.pmod(h, F.col("x_blocks")).cast("int")).withColumn("m", F.explode(whole("m_blocks")))
     right = rows.withColumn("left", F.lit(False)).withColumn("m", F.pmod(h, F.col("m_blocks")).cast("int")).withColumn("x", F.explode(whole("x_blocks")))
     cells = left.select(columns).unionByName(right.select(columns))
     # Many cells are tiny, so a task group holds the cells of one hash value; the number of values follows the input.
-    n_groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() // GROUP_DOCS)
-    cells = cells.withColumn("g", F.pmod(F.xxhash64("family", "x", "m"), F.lit(n_groups)))
+    n_groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() // GROUP_DOCS)
+    cells = cells.withColumn("g", F.pmod(F.xxhash64("bucket", "x", "m"), F.lit(n_groups)))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("family", "ascending"), ("x", "ascending"), ("m", "ascending")])
-        place = [table.column(c).to_numpy() for c in ("family", "x", "m")]
+        table = table.sort_by([("bucket", "ascending"), ("x", "ascending"), ("m", "ascending")])
+        place = [table.column(c).to_numpy() for c in ("bucket", "x", "m")]
         cuts = np.flatnonzero(np.any([p[1:] != p[:-1] for p in place], axis=0)) + 1
-        found: list[tuple[int, int]] = []
+        found: set[tuple[int, int, bool]] = set()
         for lo, hi in zip([0, *cuts], [*cuts, len(table)], strict=True):
             part = table.slice(lo, hi - lo)
             left = np.array(part.column("left").to_pylist(), bool)
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(len(left), -1)
-            sets = [np.frombuffer(s, np.uint64) for s in part.column("shingles").to_pylist()]
-            found += _compare(part.column("id").to_numpy(), part.column("comp").to_numpy(), sig, sets, np.flatnonzero(left), np.flatnonzero(~left))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            found |= {(min(a, b), max(a, b), more) for a, b, more in _compare(part.column("id").to_numpy(), part.column("comp").to_numpy(), sig, np.flatnonzero(left), np.flatnonzero(~left), tries)}
+        rows = sorted(found)
+        return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "more": pa.array([r[2] for r in rows], pa.bool_())})
 
-    return cells.groupBy("g").applyInArrow(run, "a long, b long")
+    return cells.groupBy("g").applyInArrow(run, "a long, b long, more boolean").distinct()
 
 
 def links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -282,12 +274,20 @@ def links(docs: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame
     pairs = write_table(_signed(pairs, reps), "survivors")
     sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, reps.select("id", "fp"), doc_id, text)
     stars = write_table(_confirmed(pairs, sets), "confirmed")
-    comp = write_table(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-    members = members.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    # A bucket of one component is done.
-    unsettled = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
-    members = write_table(members.join(checked_broadcast(unsettled, 100_000), "bucket"), "unsettled")
-    return stars.unionByName(write_table(_family_links(members, reps, docs, doc_id, text), "family_links"))
+    edges, tried, tries = stars, pairs, TRIES
+    while True:
+        comp = write_table(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+        mine = members.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+        # A bucket of one component is done.
+        unsettled = mine.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
+        members = write_table(mine.join(checked_broadcast(unsettled, 100_000), "bucket"), "unsettled")
+        found = write_table(_bucket_pairs(members, reps, tries), "bucket_pairs")
+        new = write_table(found.where("NOT more").select("a", "b").join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "candidates")
+        sets = _full_sets(new.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, reps.select("id", "fp"), doc_id, text)
+        edges, tried = edges.unionByName(write_table(_confirmed(new, sets), "confirmed")), tried.unionByName(new)
+        if not found.where("more").limit(1).count():
+            return edges
+        members, tries = members.select("bucket", "id"), tries * RAISE
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -521,6 +521,26 @@ def test_op10(request, spark, which):
         assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id == r.component_id)
 
 
+def test_op10_survivors_that_fail_are_followed_by_the_next(spark, monkeypatch):
+    """Chains of near copies whose ends are not alike, with one try a round and tiny cells: every link is found, in several rounds."""
+    for name, value in (("TRIES", 1), ("RAISE", 2), ("X_BLOCK", 3), ("M_BLOCK", 5)):
+        monkeypatch.setattr(neardup, name, value)
+    rnd = random.Random(9)
+    rows = []
+    for chain in range(5):
+        ws = [f"c{chain}w{i}" for i in range(100)]
+        for _ in range(16):
+            ws = list(ws)
+            ws[rnd.randrange(100)] = f"r{rnd.randrange(99999)}"
+            rows.append((len(rows), " ".join(ws)))
+            if rnd.random() < 0.4:  # a version that is near the threshold of many
+                rows.append((len(rows), " ".join(w if rnd.random() > 0.03 else "x" + w for w in ws)))
+    rnd.shuffle(rows)
+    want = _components(rows)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 5 <= len(set(want.values())) < len(rows)
+
+
 def test_op10_empty_and_filter(empty, odd):
     assert neardup.near_duplicates(empty).count() == 0
     out = neardup.drop_near_duplicates(odd)
