@@ -1,7 +1,7 @@
 """Operator 5: BPE encoding and decoding by speculation and verification.
 
 The vocabulary's words end in a marker and texts never join words over white space, so the unit of work is the distinct
-white-space chunk of a task. A chunk is normalised and cut into words (ASCII here, others by the library's normaliser and cutter); for each word greedy longest match proposes
+white-space chunk of a task, and inside it the distinct word; both are remembered in bounded tables. A chunk is normalised and cut into words (ASCII here, others by the library's normaliser and cutter); for each word greedy longest match proposes
 tokens. A proposal is the BPE result exactly if every proposed token is the result for its own string and no merge
 crosses a border between two neighbours. Both are tested with numpy for all pairs of a batch at once: a crossing merge
 (x, y) needs x on the right spine of the left token and y on the left spine of the right token, both still alive when
@@ -32,8 +32,8 @@ from tokenizers import Tokenizer
 from tessella.llm.common import texts
 from tessella.runtime import ship_package
 
-#: Distinct chunks that a task remembers before it starts anew.
-MEMORY = 300_000
+#: Distinct chunks, and distinct words, in a half of a task's memory; those of the older half go if nobody asks for them.
+MEMORY = 150_000
 #: Symbols beyond which a word is merged with a heap.
 LONG_WORD = 64
 #: Characters of texts whose chunks are learnt together.
@@ -193,7 +193,8 @@ class Bpe:
     def split(self, chunk: str) -> list[str]:
         """The byte-level words of a chunk without white space."""
         if chunk.isascii():
-            return [w.translate(self._ascii) for w in self._word_re.findall(chunk.lower())]
+            words = self._word_re.findall(chunk.lower())
+            return words if chunk.isprintable() else [w.translate(self._ascii) for w in words]  # printable: each byte stands for itself
         return [w for w, _ in self._cut.pre_tokenize_str(self._normal.normalize_str(chunk))]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -201,28 +202,51 @@ class Bpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
+class Memory:
+    """Ids, as bytes, of the keys asked for lately. A full young half becomes the old one, whose keys move back on demand."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys not known; the others are in the young half from here to the next call."""
+        if len(self.young) > MEMORY:
+            self.young, self.old = {}, self.young
+        out = []
+        for k in keys.difference(self.young):
+            if (ids := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.young[k] = ids
+        return out
+
+
 class Encoder:
-    """Encodes texts one after the other and remembers the chunks it has seen."""
+    """Encodes texts one after the other and remembers chunks and words it has seen: a word stands in many chunks."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.seen = bpe, {}
+        self.bpe, self.chunks, self.words = bpe, Memory(), Memory()
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        new = list(chunks)
-        cut = [self.bpe.split(c) for c in new]
-        done = iter(self.bpe.words([w for ws in cut for w in ws]))
-        for c, ws in zip(new, cut, strict=True):
-            self.seen[c] = np.array([t for _ in ws for t in next(done)], "<u4").tobytes()
+    def _learn_words(self, words: set[str]) -> None:
+        new = self.words.missing(words)
+        found = self.bpe.words(new)
+        ids = np.fromiter((t for f in found for t in f), "<u4").tobytes()
+        at = 0
+        for w, f in zip(new, found, strict=True):
+            self.words.young[w] = ids[at : (at := at + 4 * len(f))]
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _ODD_SPACE.search(text) else text.split()
 
     def _know(self, chunks: set[str]) -> None:
-        if new := chunks.difference(self.seen):
-            if len(self.seen) > MEMORY:
-                self.seen, new = {}, chunks
-            self._learn(new)
+        new = self.chunks.missing(chunks)
+        cut = [self.bpe.split(c) for c in new]
+        self._learn_words({w for ws in cut for w in ws})
+        ids = self.words.young.__getitem__
+        for c, ws in zip(new, cut, strict=True):
+            self.chunks.young[c] = b"".join(map(ids, ws))
 
     def encode_all(self, docs: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of one text after the other; new chunks are learnt for some texts at a time."""
@@ -236,7 +260,7 @@ class Encoder:
             parts = [self._parts(t) for t in group]
             self._know({c for ps in parts for p in ps if isinstance(p, list) for c in p})
             for ps in parts:
-                yield np.frombuffer(b"".join([p if isinstance(p, bytes) else b"".join(map(self.seen.__getitem__, p)) for p in ps]), "<u4")
+                yield np.frombuffer(b"".join([p if isinstance(p, bytes) else b"".join(map(self.chunks.young.__getitem__, p)) for p in ps]), "<u4")
 
     def _parts(self, text: str) -> list[list[str] | bytes]:
         """Lists of chunks, and the ids of added tokens between them."""
