@@ -5,7 +5,8 @@ white-space chunk of a task, and inside it the distinct word; both are remembere
 tokens. A proposal is the BPE result exactly if every proposed token is the result for its own string and no merge
 crosses a border between two neighbours. Both are tested with numpy for all pairs of a batch at once: a crossing merge
 (x, y) needs x on the right spine of the left token and y on the left spine of the right token, both still alive when
-the rank of (x, y) comes up. Only words that fail are merged step by step.
+the rank of (x, y) comes up. Only words that fail are merged. Proposing and merging take the words of a batch together too: they
+walk a trie of the vocabulary side by side, and words of equal length make one merge each a round, so that they stay of equal length.
 
 The tokenizer file is read on the driver; its tables have the size of the vocabulary and travel with the task.
 
@@ -34,7 +35,7 @@ from tessella.runtime import ship_package
 
 #: Distinct chunks, and distinct words, in a half of a task's memory; those of the older half go if nobody asks for them.
 MEMORY = 150_000
-#: Symbols beyond which a word is merged with a heap.
+#: Symbols beyond which a word is taken by itself and merged with a heap.
 LONG_WORD = 64
 #: Characters of texts whose chunks are learnt together.
 GROUP_CHARS = 2_000_000
@@ -80,9 +81,10 @@ class Bpe:
             codes.append(i * n + j)
             if self.birth[k] < 0:
                 self.left[k], self.right[k], self.birth[k] = i, j, r
-        # For step-by-step merging: the rank of a pair of ids, and what it makes.
+        # For merging a long word: the rank of a pair of ids, and what it makes.
         self._pair = {c: r for r, c in reversed(list(enumerate(codes)))}
         self._made = [self.vocab[a + b] for a, b in pairs]
+        self._makes = np.array(self._made, np.int32)
         # The longest token without end marker for each two first characters bounds the search for the longest match.
         self._reach: dict[str, int] = {}
         for t in self.vocab:
@@ -91,6 +93,33 @@ class Bpe:
         order = np.argsort(codes)
         self._codes, self._ranks, self._n = np.asarray(codes)[order], order, n
         self.own = self._own()
+        # The id of each byte's character, inside a word and at its end, by code point; and its number in the trie.
+        self._inside, self._final, self._letter = (np.zeros(0x200, np.int32) for _ in range(3))
+        for i, c in enumerate(_byte_chars()):
+            self._inside[ord(c)], self._final[ord(c)], self._letter[ord(c)] = self.vocab[c], self.vocab[c + self.end], i
+        self._plant()
+
+    def _plant(self) -> None:
+        """The trie of the vocabulary: sorted edges (node * 256 + letter), and the tokens of a node inside a word and at its end."""
+        edges: dict[int, int] = {}
+        here: list[tuple[int, int]] = []
+        last: list[tuple[int, int]] = []
+        letter = {c: i for i, c in enumerate(_byte_chars())}
+        for t, i in self.vocab.items():
+            ends = bool(self.end) and t.endswith(self.end)
+            node = 0
+            for c in t[: -len(self.end)] if ends else t:
+                node = edges.setdefault(node * 256 + letter[c], len(edges) + 1)
+            if ends or not self.end:
+                last.append((node, i))
+            if not ends:
+                here.append((node, i))
+        codes, nodes = np.array(list(edges), np.int32), np.array(list(edges.values()), np.int32)
+        order = np.argsort(codes)
+        self._edges, self._child = codes[order], nodes[order]
+        self._token = np.full((2, len(edges) + 1), -1, np.int32)
+        for row, found in enumerate((here, last)):
+            self._token[row, [n for n, _ in found]] = [i for _, i in found]
 
     def crossing(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int) -> np.ndarray:
         """Whether some merge of rank below limit joins a symbol of a to a symbol of b."""
@@ -121,25 +150,43 @@ class Bpe:
             own[t] = own[self.left[t]] and own[self.right[t]] and not crossed[t]
         return own
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of merging a with b, or the number of merges if there is none."""
+        code = a.astype(np.int64) * self._n + b
+        at = np.minimum(np.searchsorted(self._codes, code), len(self._codes) - 1)
+        return np.where(self._codes[at] == code, self._ranks[at], len(self._codes)).astype(np.int32)
+
+    def _merge_equal(self, ids: np.ndarray) -> list[bytes]:
+        """The exact results for words of one length, a row of symbols each. Each round every word makes its merge of the lowest rank,
+        of equal ranks the leftmost; words without any are done."""
+        out, row = [b""] * len(ids), np.arange(len(ids))
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        while len(row):
+            place = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(row), np.int64)
+            best = ranks[np.arange(len(row)), place] if ranks.shape[1] else np.full(len(row), len(self._codes))
+            on = best < len(self._codes)
+            done, width = ids[~on].astype("<u4").tobytes(), 4 * ids.shape[1]
+            for k, i in enumerate(row[~on].tolist()):
+                out[i] = done[k * width : (k + 1) * width]
+            ids, ranks, row, place, best = ids[on], ranks[on], row[on], place[on], best[on]
+            if not len(row):
+                break
+            ids[np.arange(len(row)), place] = self._makes[best]
+            column, at = np.arange(ids.shape[1] - 1), place[:, None]
+            ids = np.take_along_axis(ids, column + (column > at), axis=1)
+            ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= at), axis=1)
+            i = np.flatnonzero(place > 0)
+            ranks[i, place[i] - 1] = self._rank(ids[i, place[i] - 1], ids[i, place[i]])
+            i = np.flatnonzero(place < ranks.shape[1])
+            ranks[i, place[i]] = self._rank(ids[i, place[i]], ids[i, place[i] + 1])
+        return out
+
     def merge(self, word: str) -> list[int]:
         """The exact result: the lowest rank first, of equal ranks the leftmost."""
-        n, none, rank = self._n, 1 << 60, self._pair.get
-        ids = [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.end]]
-        if len(ids) > LONG_WORD:
-            return self._merge_long(ids)
-        ranks = [rank(a * n + b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != none:
-            i = ranks.index(best)
-            ids[i : i + 2] = [self._made[best]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] * n + ids[i], none)
-            if i < len(ranks):
-                ranks[i] = rank(ids[i] * n + ids[i + 1], none)
-        return ids
+        return self._merge_long([*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.end]])
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap of (rank, place) over linked symbols: n log n steps for a word of n symbols."""
+        """With a heap of (rank, place) over linked symbols: n log n steps for a word of n symbols."""
         n, size, rank, made = self._n, len(ids), self._pair.get, self._made
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         heap = [r * size + i for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := rank(a * n + b)) is not None]
@@ -173,22 +220,67 @@ class Bpe:
                     break
         return out
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of byte-level words."""
-        found = [self.propose(w) for w in words]
-        if not found:
-            return found
-        flat = np.fromiter((t for f in found for t in f), np.int64)
-        owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        fail = np.zeros(len(found), bool)
+    def _propose_all(self, letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """propose for all words at once: at each letter the id of the token that starts there, else -1. ends: where words end."""
+        out = np.full(len(letters), -1, np.int32)
+        at = np.concatenate([[0], ends[:-1]])
+        while len(at):
+            found, upto = np.full(len(at), -1, np.int32), at.copy()
+            who, node, i = np.arange(len(at)), np.zeros(len(at), np.int32), at
+            while len(who):
+                code = node * 256 + letters[i]
+                edge = np.minimum(np.searchsorted(self._edges, code), len(self._edges) - 1)
+                on = self._edges[edge] == code
+                who, node, i = who[on], self._child[edge[on]], i[on] + 1
+                final = i == ends[who]
+                token = self._token[final.astype(np.int8), node]
+                hit = token >= 0
+                found[who[hit]], upto[who[hit]] = token[hit], i[hit]
+                who, node, i = who[~final], node[~final], i[~final]
+            out[at] = found
+            more = upto < ends
+            at, ends = upto[more], ends[more]
+        return out
+
+    def _proposals(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Proposed ids of all words, one after the other, and how many each word has."""
+        points = np.frombuffer("".join(words).encode("utf-16-le"), "<u2")  # byte characters stand below U+0200
+        ends = np.cumsum([len(w) for w in words])
+        tokens = self._propose_all(self._letter[points], ends)
+        starts = tokens >= 0
+        return tokens[starts].astype(np.int64), np.add.reduceat(starts, np.concatenate([[0], ends[:-1]]), dtype=np.int64)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Token ids of byte-level words, each as little-endian unsigned 32-bit integers."""
+        short = [w for w in words if len(w) <= LONG_WORD]
+        flat, sizes = self._proposals(short) if short else (np.empty(0, np.int64), np.empty(0, np.int64))
+        long = [self.propose(w) for w in words if len(w) > LONG_WORD]
+        # Long words stand behind the short ones.
+        flat = np.concatenate([flat, *[np.array(f, np.int64) for f in long]])
+        sizes = np.concatenate([sizes, np.array([len(f) for f in long], np.int64)])
+        owner = np.repeat(np.arange(len(words)), sizes)
+        fail = np.zeros(len(words), bool)
         fail[owner[~self.own[flat]]] = True
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[inside] * self._n + flat[inside + 1], return_inverse=True)
         bad = self.crossing(pairs // self._n, pairs % self._n, len(self.rank) + 1)
         fail[owner[inside][bad[back]]] = True
-        for i in np.flatnonzero(fail):
-            found[i] = self.merge(words[i])
-        return found
+        data, cuts = flat.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(sizes)])).tolist()
+        found = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        by_length: dict[int, list[int]] = {}
+        for i in np.flatnonzero(fail[: len(short)]).tolist():
+            by_length.setdefault(len(short[i]), []).append(i)
+        for n, which in by_length.items():
+            points = np.frombuffer("".join([short[i] for i in which]).encode("utf-16-le"), "<u2").reshape(-1, n)
+            ids = self._inside[points]
+            ids[:, -1] = self._final[points[:, -1]]
+            for i, merged in zip(which, self._merge_equal(ids), strict=True):
+                found[i] = merged
+        if not long:
+            return found
+        exact = iter([np.array(self.merge(w), "<u4").tobytes() if bad else f for w, f, bad in zip([w for w in words if len(w) > LONG_WORD], found[len(short) :], fail[len(short) :], strict=True)])
+        near = iter(found)
+        return [next(near) if len(w) <= LONG_WORD else next(exact) for w in words]
 
     def split(self, chunk: str) -> list[str]:
         """The byte-level words of a chunk without white space."""
@@ -230,11 +322,8 @@ class Encoder:
 
     def _learn_words(self, words: set[str]) -> None:
         new = self.words.missing(words)
-        found = self.bpe.words(new)
-        ids = np.fromiter((t for f in found for t in f), "<u4").tobytes()
-        at = 0
-        for w, f in zip(new, found, strict=True):
-            self.words.young[w] = ids[at : (at := at + 4 * len(f))]
+        if new:
+            self.words.young.update(zip(new, self.bpe.words(new), strict=True))
 
     @staticmethod
     def _chunks(text: str) -> list[str]:

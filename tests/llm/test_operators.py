@@ -241,7 +241,13 @@ def test_texts_that_are_no_utf8(spark):
 def test_op5_compatibility_equals_merging():
     b, rnd = bpe.Bpe(bpe.read_tokenizer(llm.tokenizer_path())), random.Random(3)
     words = ["".join(rnd.choice("abcdeinorst"[: rnd.randint(2, 11)]) for _ in range(rnd.randint(1, 24))) for _ in range(5000)]
-    assert b.words(words) == [b.merge(w) for w in words]
+    words += [w * 9 for w in words[:40]] + ["a", "aa", "the" * 30, "a" * 64, "a" * 65]
+    got = [np.frombuffer(x, "<u4").tolist() for x in b.words(words)]
+    assert got == [b.merge(w) for w in words]
+    # Words of a batch are proposed as each by itself.
+    short = [w for w in words if len(w) <= bpe.LONG_WORD]
+    flat, sizes = b._proposals(short)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [b.propose(w) for w in short]
 
 
 def test_op6(spark):
