@@ -1,7 +1,7 @@
 """Operator 5: BPE encoding and decoding by speculation and verification.
 
 The vocabulary's words end in a marker and texts never join words over white space, so the unit of work is the distinct
-white-space chunk of a task, and inside it the distinct word; both are remembered in bounded tables. A chunk is normalised and cut into words (ASCII here, others by the library's normaliser and cutter); for each word greedy longest match proposes
+white-space chunk of a task, and inside it the distinct word; both are remembered in bounded tables. A chunk is normalised and cut into words (Latin-1 here, others by the library's normaliser and cutter); for each word greedy longest match proposes
 tokens. A proposal is the BPE result exactly if every proposed token is the result for its own string and no merge
 crosses a border between two neighbours. Both are tested with numpy for all pairs of a batch at once: a crossing merge
 (x, y) needs x on the right spine of the left token and y on the left spine of the right token, both still alive when
@@ -41,6 +41,9 @@ LONG_WORD = 64
 GROUP_CHARS = 2_000_000
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters, numbers and white space of Latin-1, which are the same in all versions of Unicode and in normal form.
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_BEYOND = re.compile("[^\x00-\xff]")
 
 
 def _byte_chars() -> list[str]:
@@ -69,8 +72,9 @@ class Bpe:
         library = Tokenizer.from_str(source)
         self._normal, self._cut = library.normalizer, library.pre_tokenizer
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._word_re = re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "))  # for ASCII
-        self._ascii = {i: c for i, c in enumerate(_byte_chars()[:128])}
+        self._word_re = re.compile(pattern.replace(r"\p{L}", LATIN_LETTERS).replace(r"\p{N}", LATIN_NUMBERS).replace(r"\s", LATIN_SPACE))
+        shown = _byte_chars()
+        self._latin = {i: "".join(shown[b] for b in chr(i).encode()) for i in range(256)}
         self.longest = max(map(len, self.vocab))
         n = len(self.tokens)
         self.left, self.right = np.full(n, -1), np.full(n, -1)
@@ -284,9 +288,12 @@ class Bpe:
 
     def split(self, chunk: str) -> list[str]:
         """The byte-level words of a chunk without white space."""
-        if chunk.isascii():
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
+        if not _BEYOND.search(chunk):
             words = self._word_re.findall(chunk.lower())
-            return words if chunk.isprintable() else [w.translate(self._ascii) for w in words]  # printable: each byte stands for itself
+            # Printable ASCII: each byte stands for itself.
+            return words if chunk.isascii() and chunk.isprintable() else [w.translate(self._latin) for w in words]
         return [w for w, _ in self._cut.pre_tokenize_str(self._normal.normalize_str(chunk))]
 
     def decode(self, ids: Iterable[int]) -> str:
