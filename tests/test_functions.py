@@ -1,6 +1,9 @@
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +11,8 @@ from hypothesis import strategies as st
 from tessella.functions.intervals import Interval, encode, from_order_key, order_key
 from tessella.functions.query import Query, matches
 from tessella.functions.schema import BINARY, EQUALITY, FLOAT, INT, UINT, VARBINARY, Attr, Schema
-from tessella.operators.binning import bin_budget, bin_of, equality_bins, range_bins
+from tessella.operators.binning import RangeCuts, bin_budget, bin_of, equality_bins, range_bins
+from tessella.operators.index import Part, _Plan
 
 A0, A1 = Attr("a0", physical=INT), Attr("a1", EQUALITY, VARBINARY, 0)
 SCHEMA = Schema((A0, A1), 0.1)
@@ -105,6 +109,38 @@ def test_range_bins_properties(masses, bins):
         assert counts == [*want[:-1], want[-1] - masses[-1], *[0] * (bins - len(want) - 1), masses[-1]]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 500), min_size=1, max_size=60), st.integers(1, 20), st.integers(1, 9))
+def test_range_bins_from_batches(masses, bins, step):
+    runs = [(order_key(A0, i), n) for i, n in enumerate(masses)]
+    found = RangeCuts(len(runs), sum(masses), bins)
+    for i in range(0, len(runs), step):
+        part = runs[i : i + step]
+        found.add(lambda j, part=part: part[j][0], np.array([n for _, n in part]))
+    assert found.done() == range_bins(runs, bins)
+
+
+@pytest.mark.parametrize("attr", [Attr("f", physical=FLOAT), Attr("e", EQUALITY, INT), Attr("s", "range", VARBINARY, 0)])
+def test_planning_holds_a_batch_and_the_bins(attr):
+    """Half a million distinct values are planned in less memory than their keys alone take."""
+    size, step = 500_000, 5_000
+    plan, made = _Plan(Part("s", 0, 100, size, size), attr), []
+    pa.array(np.arange(3)).to_pylist(), pa.array([1.5]).to_numpy()  # imports
+    tracemalloc.start()
+    for i in range(0, size, step):
+        n = np.arange(i, i + step)
+        columns = {"dbl": pa.array(n.astype(float)), "big": pa.array(n), "bin": pa.array([b"%07d" % x for x in n], pa.binary()), "text": pa.array(n).cast(pa.string()), "n": pa.array(np.ones(step, np.int64))}
+        made.append(sum(b.num_rows for b in plan.add(pa.RecordBatch.from_pydict(columns))))
+    last = [r for b in plan.done() for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000 and sum(made) == (size if attr.index == EQUALITY else 0)
+    bins, summary = [r for r in last if r["kind"] == "bins"], last[-1]
+    assert [r["n"] for r in bins] == [size // 100] * 100 and summary["n"] == summary["distinct"] == size and summary["keys"] is None
+    at = (lambda i: b"%07d" % i) if attr.is_bytes else lambda i: order_key(attr, float(i) if attr.physical == FLOAT else i)
+    assert (summary["low"], summary["high"]) == (at(0), at(size - 1)) and (attr.index == EQUALITY or [r["low"] for r in bins] == [at(5000 * i) for i in range(100)])
+
+
 def test_equality_bins_balance():
     counts = [(bytes([i]), 20) for i in range(100)]
     bins = equality_bins(counts, 10)
