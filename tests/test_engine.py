@@ -160,6 +160,22 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_an_ingest_sorts_no_rows_for_its_statistics(spark, tmp_path):
+    """Bounds of segments come from the files' first and last rows, and no task gathers the values of an attribute."""
+    schema = Schema((Attr("a", physical=INT), Attr("b", EQUALITY, VARBINARY, 0)), 0.1, False, 400)
+    t = Database(spark, str(tmp_path / "db"), schema).table()
+    df = spark.range(1000).selectExpr("cast(id % 300 AS string) AS pk", "id AS a", "cast('v' || (id % 4) as binary) AS b", "id AS o", "id % 7 = 0 AS gone")
+    ran = spark._jsparkSession.sharedState().statusStore()
+    before = ran.executionsCount()
+    t.put_df(df, "o", "gone")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [ran.executionsList(i, 1).head().physicalPlanDescription() for i in range(before, ran.executionsCount())]
+    assert any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p or "FlatMapGroups" in p for p in plans)
+    of = {r["_segment"]: r for r in t._read(t.segments, True).groupBy("_segment").agg(F.min("pk").alias("least"), F.max("pk").alias("most")).collect()}
+    assert len(t.segments) == 3 and all((s.least_pk, s.most_pk) == (bytes(of[s.name].least), bytes(of[s.name].most)) for s in t.segments)
+    assert t.segments == sorted(t.segments, key=lambda s: s.least_pk) and not any(s.single for s in t.segments)
+
+
 def test_filters_reach_the_files(spark, tmp_path):
     schema = Schema((Attr("x", physical=FLOAT), Attr("y", physical=FLOAT), Attr("s", EQUALITY, VARBINARY, 0)), 0.1)
     t = Database(spark, str(tmp_path / "db"), schema).table()
