@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,6 +291,40 @@ def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
     assert sorted(r.n for r in again.live().collect()) == [0, 2, 4, 5, 99]
 
 
+def test_ingests_side_by_side(spark, tmp_path):
+    """put_dfs is put_df of one frame after the other, at one time; a refused frame refuses them all."""
+    db = Database(spark, str(tmp_path / "db"), SCHEMA)
+    one, all_ = db.create("one", SCHEMA), db.create("all", SCHEMA)
+    rows = spark.range(60).selectExpr("cast(id % 20 AS string) AS pk", "cast(id AS int) AS n", "cast(id AS double) AS f", "cast(id % 3 AS string) AS s", "id AS o", "id % 7 = 3 AS gone")
+    frames = [rows.where("o < 30"), rows.where("o > 90"), rows.where("o BETWEEN 25 AND 50"), rows.where("o > 40").withColumn("o", F.col("o") - 41)]
+    at_a_time, most, write = set(), [0], all_._write
+
+    def watched(*args):
+        me = object()
+        at_a_time.add(me)
+        barrier.wait(60)
+        most[0] = max(most[0], len(at_a_time))
+        made = write(*args)
+        at_a_time.discard(me)
+        return made
+
+    barrier = threading.Barrier(len(frames))
+    for t in (one, all_):
+        t.put("7", [0, 0.5, "x"])
+    for f in frames:
+        one.put_df(f, "o", "gone")
+    all_.flush()  # no part of the ingests
+    all_._write = watched
+    all_.put_dfs(frames, "o", "gone")
+    assert most[0] == len(frames) and all_.seq == one.seq and len(all_.segments) == len(one.segments) == 4
+    for t in (one, all_):
+        assert [(s.rows, s.least_seq, s.most_seq) for s in t.segments] == [(s.rows, s.least_seq, s.most_seq) for s in one.segments]
+    assert all_.raw().orderBy("_seq").collect() == one.raw().orderBy("_seq").collect()
+    with pytest.raises(ValueError):
+        all_.put_dfs([frames[0], frames[2].withColumn("s", F.lit(None).cast("string")).withColumn("gone", F.lit(False))], "o", "gone")
+    assert len(all_.segments) == 4 and not any(n.startswith("stage-") for n in all_.store.children("all"))
+
+
 def test_empty_ingest(spark, tmp_path):
     t = Database(spark, str(tmp_path / "db"), SCHEMA).table()
     t.put_df(spark.createDataFrame([], "pk string, n int, f double, s string, o long"), "o")
